@@ -92,7 +92,7 @@ def _threshold(rows: DataFrame, budget: DataFrame, sources: int) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (and the columns of keep) of every row of docs.
+    """doc_id, source, size, source_size, target, taken (and the columns of keep as kept_0, ...) of every row of docs.
 
     A document's size is its number of words (null text: 0). Of each source the mix takes every document
     floor(target / source size) times, and once more those whose hash of doc_id and size is under a threshold.
@@ -102,7 +102,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, keep: tuple[str, ...
     its own, the last; sources without words have target 0. An empty table gives an empty result.
     """
     digest = F.xxhash64(F.lit("mix"), F.col("doc_id").cast("string"), F.col("size"))
-    sized = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *[F.col(k).alias(f"kept_{i}") for i, k in enumerate(keep)]).alias("r"), word_count(F.col("text").cast("string")).alias("size"))
+    sized = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *[F.col(f"`{k}`").alias(f"kept_{i}") for i, k in enumerate(keep)]).alias("r"), word_count(F.col("text").cast("string")).alias("size"))
     sized = sized.select("r.*", "size", _key(F.col("r.source")).alias("skey"))
     sized = materialize(sized.withColumn("u", F.shiftrightunsigned(digest, 64 - BITS * LEVELS)), "sizes")
     targets = materialize(source_targets(sized.select("source", "size"), weights, cap), "targets")
@@ -132,7 +132,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, keep: tuple[str, ...
     taken = F.col("size") * (F.col("full") + F.when(F.col("rest") > 0, once.cast("int")).otherwise(0))
     return whole.select(
         "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"),
-        *[F.col(f"kept_{i}").alias(k) for i, k in enumerate(keep)],
+        *[f"kept_{i}" for i in range(len(keep))],
     )
 
 
@@ -140,6 +140,14 @@ def _under(k: int) -> Column:
     return (F.col("u") < F.col(f"edge{k}")) & (F.col("size") <= F.col(f"left{k}"))
 
 
+def mixture(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+    """docs (doc_id, source, text and any other columns) as the mix takes them: a document taken twice is two rows."""
+    names = docs.columns
+    found = mixed(docs, weights, cap, keep=tuple(names)).where("taken > 0")
+    times = F.expr("sequence(1L, taken div size)")
+    return found.select(*[F.col(f"kept_{i}") for i in range(len(names))], F.explode(times)).select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)])
+
+
 def query(spark, sf_dir):
     """op3: what the mix takes of every document."""
     from quaver.llm.common import table

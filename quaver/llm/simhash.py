@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaver.llm.common import materialize
@@ -41,19 +42,14 @@ def simhash(text: str | None, words_each: int = 3, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def _fingerprint_batches(words_each: int):
-    def run(batches):
-        for batch in batches:
-            prints = np.array([simhash(x.as_py(), words_each) for x in batch.column(1)], dtype="<u8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view("<i8"))], ["doc_id", "fp"])
+def fingerprint_column(text: Column, words_each: int = 3) -> Column:
+    """simhash() of a column of texts as a long."""
 
-    return run
+    def run(texts: pa.Array) -> pa.Array:
+        prints = np.array([simhash(t, words_each) for t in texts.to_pylist()], dtype="<u8")
+        return pa.array(prints.view("<i8"))
 
-
-def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
-    """(doc_id long, fp long: the fingerprint's bits) of every row."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_fingerprint_batches(words_each), "doc_id long, fp long")
+    return F.arrow_udf(run, "long")(text.cast("string"))
 
 
 def _signature_batches(batches):
@@ -137,33 +133,51 @@ def _link_batches(batches):
 
 
 def components(prints: DataFrame) -> DataFrame:
-    """(fp long, component_id long) of every distinct fingerprint of prints (doc_id, fp).
+    """(fp long, least long, root long) of every distinct fingerprint of prints (doc_id, fp).
 
     Fingerprints within three bits agree but for one bit at most in one half of 32 bits, so they share that half or one
     of its 32 variants with a bit deleted. Equal fingerprints are one class, found before the shuffle; classes are dealt
     by signature, verified by bit distance, and each signature's group gives a spanning set of links, never all pairs.
-    component_id is the smallest doc_id reachable (null doc_ids are left out of it).
+    least is the smallest doc_id of the fingerprint (null if it has null ones only), root a fingerprint that stands for
+    the component.
     """
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     signed = classes.select("fp").mapInArrow(_signature_batches, "key long, fp long")
     links = signed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link_batches, "a long, b long")
     roots = connected_components(links)
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = materialize(rooted, "simhash-classes")
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(best, "root").select("fp", "component_id")
+    rooted = classes.join(roots, classes.fp == roots.node, "left")
+    return materialize(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-classes")
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 3) -> DataFrame:
-    """One row per row of docs: doc_id, fp long, component_id long.
+    """One row per row of docs (doc_id, text): doc_id, fp long, component_id long.
+
+    component_id is the smallest doc_id reachable, itself included; null doc_ids never are one. Null and empty texts have
+    fingerprint 0 and link like any other. Repeated rows are each returned; an empty table gives an empty result; other
+    columns are ignored.
+    """
+    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), words_each).alias("fp"))
+    prints = materialize(prints, "simhash")
+    rooted = components(prints)
+    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(best, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, words_each: int = 3) -> DataFrame:
+    """docs with one row of each component: its smallest doc_id, all columns kept, whatever their names.
 
-    Null and empty texts have fingerprint 0 and link like any other. Repeated rows are each returned; an empty table
-    gives an empty result; other columns are ignored.
+    Rows without an id give way to rows with one; of rows that repeat an id and a fingerprint one stays.
     """
-    prints = materialize(fingerprints(docs, words_each), "simhash")
-    return prints.join(components(prints), "fp").select("doc_id", "fp", "component_id")
+    names = docs.columns
+    last = F.lit((1 << 63) - 1)
+    kept = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("kept")
+    rows = docs.select(kept, F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), fingerprint_column(F.col("text"), words_each).alias("fp"))
+    rows = materialize(rows, "simhash-rows")
+    rooted = components(rows.select("doc_id", "fp"))
+    stays = rooted.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("one")).select(F.col("one.least").alias("doc_id"), F.col("one.fp").alias("fp"))
+    rows = rows.join(stays, ["doc_id", "fp"], "left_semi")
+    rows = rows.withColumn("at", F.row_number().over(W.partitionBy("doc_id", "fp").orderBy(F.lit(0)))).where("at = 1")
+    return rows.select(*[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def query(spark, sf_dir):
