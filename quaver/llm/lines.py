@@ -53,13 +53,15 @@ def similar_links(lines: DataFrame) -> DataFrame:
     six bands. Each comparison is over the whole shingle sets.
     """
     distinct = lines.groupBy("h").agg(F.min("line").alias("line"))
-    signed = distinct.select("h", signature(shingle_hashes(F.col("line"))).alias("small"))
-    keyed = signed.select("h", F.explode(bands(F.col("small"))).alias("key"))
-    order = W.partitionBy("key").orderBy(F.xxhash64("key", "h"), "h")
-    heads = [F.nth_value("h", i + 1).over(order).alias(f"head{i}") for i in range(HEADS)]
-    near = keyed.select("h", F.lag("h").over(order).alias("back"), *heads).where("back is not null")
-    near = near.select("h", F.explode(F.array_distinct(F.array("back", *[f"head{i}" for i in range(HEADS)]))).alias("other"))
-    pairs = near.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).where("other is not null and a <> b").distinct()
+    sets = distinct.select("h", shingle_hashes(F.col("line")).alias("set"))
+    signed = sets.select(F.struct("h", F.size("set").alias("n")).alias("x"), signature(F.col("set")).alias("small"))
+    keyed = signed.select("x", F.explode(bands(F.col("small"))).alias("key"))
+    order = W.partitionBy("key").orderBy(F.xxhash64("key", "x.h"), "x.h")
+    heads = [F.nth_value("x", i + 1).over(order).alias(f"head{i}") for i in range(HEADS)]
+    near = keyed.select("x", F.lag("x").over(order).alias("back"), *heads).where("back is not null")
+    near = near.select("x", F.explode(F.array_distinct(F.array("back", *[f"head{i}" for i in range(HEADS)]))).alias("y"))
+    near = near.where("y is not null and x.h <> y.h").where(F.least("x.n", "y.n") >= SIMILAR * F.greatest("x.n", "y.n"))  # else too unlike
+    pairs = near.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
     pairs = pairs.join(distinct.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
     pairs = pairs.join(distinct.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
     pairs = pairs.select("a", "b", shingle_hashes(F.col("line_a")).alias("one"), shingle_hashes(F.col("line_b")).alias("two"))
