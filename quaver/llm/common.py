@@ -32,11 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark's setting that shuffle files go when the query that wrote them ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back, so that a lost executor never repeats what led to them."""
+    """Writes the rows to the shared folder and reads them back, so that a lost executor never repeats what led to them.
+
+    The query's shuffle files go as soon as its rows are written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     again = spark.read.schema(df.schema).parquet(path)
     again.stored_at = path
     return again

@@ -314,7 +314,9 @@ def _array_batches(width: int):
             rows = [np.asarray(batch.column(i)) for i in range(5)] + [np.array(batch.column(5).to_pylist() + [None], dtype=object)[:-1]]
             if held is not None:
                 rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
-            key = rows[0]
+            again = np.ones(len(rows[0]), dtype=bool)  # a repeated row gives each of its suffixes again
+            again[1:] = np.any([r[1:] != r[:-1] for r in rows[:4]], axis=0)
+            rows = [r[again] for r in rows]
             same = sift(*rows)
             if same.any():
                 size = np.array([len(x) for x in rows[5][same]])
@@ -426,12 +428,12 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sorted_ = _dealt(narrow.select("text_id", "data"), width).sortWithinPartitions("key", "text_id", "pos")
     found = sorted_.select("key", "text_id", "pos").mapInArrow(_candidate_batches, "text_id long, pos int")
     spots = found.groupBy("text_id").agg(F.array_sort(F.collect_set("pos")).alias("spots")).join(classes, "text_id")
+    spots = materialize(spots, "spots")
     texts = narrow.select("doc", "data", "text_id")
     around = (
         texts.select("doc", "data", "text_id").join(spots.select("doc", F.col("text_id").alias("of"), "spots"), "doc").where("text_id = of")
         .select("doc", "data", "spots")
         .mapInArrow(_context_batches(width), "key long, digest long, doc long, pos int, lft short, context binary")
-        .dropDuplicates(["doc", "pos"])
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     around = around.repartitionByRange(parts, "key", "digest", "doc", "pos").sortWithinPartitions("key", "digest", "doc", "pos")
