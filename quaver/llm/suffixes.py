@@ -10,8 +10,9 @@ Positions of documents are UTF-8 bytes. A string of ``width`` bytes is removed w
    split over buckets. Buckets are sorted (spilling); suffixes alone with their leading bytes drop out.
 3. *Contexts.* The others fetch the bytes around them. They are range-partitioned and sorted again by leading bytes and
    context; a context equal to its predecessor's is a repeat as a whole. Suffixes whose leading bytes meet in several
-   contexts are compared at each offset, within the bucket where the group is whole. Groups that a bucket boundary cuts
-   (all hot groups are) send their windows, each offset its own suffix, through one more range partition.
+   contexts are compared at each offset, within the bucket where the group is whole. Of groups that a bucket boundary
+   cuts (all hot groups are) each part sends the windows that it holds first, each offset its own suffix, through one
+   more range partition, where they are compared across boundaries.
 4. Repeats become byte intervals, dealt to their documents.
 """
 
@@ -261,18 +262,22 @@ def _array_batches(width: int):
         return out
 
     def windows(doc, pos, left, context):
-        """Every window of the rows, by a digest of its bytes."""
+        """Of a part of a group: windows that repeat within the part, as intervals; of the others, each window's digest."""
+        if not len(doc):
+            return
+        pos, left = pos.astype("<i8"), left.astype("<i8")
+        row, offset = yield from repeats(doc, pos, left, context)
+        known = np.zeros((len(doc), reach + 1), dtype=bool)
+        known[row, offset] = True
         out = [], [], [], []
-        for d, p, l, x in zip(doc, pos, left, context, strict=True):
+        for i, (d, p, l, x) in enumerate(zip(doc.tolist(), pos.tolist(), left.tolist(), context, strict=True)):
             for at in range(0, min(l + 1, len(x) - width + 1)):
+                if known[i, l - at]:
+                    continue
                 sum_ = hashlib.blake2b(x[at : at + width], digest_size=16).digest()
                 for o, v in zip(out, (d, p - l + at, int.from_bytes(sum_[:8], "little", signed=True), int.from_bytes(sum_[8:], "little", signed=True)), strict=True):
                     o.append(v)
-            if len(out[0]) > 200_000:
-                yield record(1, out[0], out[1], np.array(out[1], dtype="<i8") + width, np.array(out[2], dtype="<i8"), np.array(out[3], dtype="<i8"))
-                out = [], [], [], []
-        if out[0]:
-            yield record(1, out[0], out[1], np.array(out[1], dtype="<i8") + width, np.array(out[2], dtype="<i8"), np.array(out[3], dtype="<i8"))
+        yield record(1, out[0], out[1], np.array(out[1], dtype="<i8") + width, np.array(out[2], dtype="<i8"), np.array(out[3], dtype="<i8"))
 
     def whole(doc, pos, left, size):
         """The bytes of all windows of a context that an earlier one equals."""
@@ -281,21 +286,21 @@ def _array_batches(width: int):
         fits = shortest <= left
         return record(0, doc[fits], (pos - left)[fits], (pos - shortest + width)[fits])
 
-    def groups(key, doc, pos, left, context):
-        """Groups of a key that this bucket holds whole."""
+    def repeats(doc, pos, left, context):
+        """Yields the intervals of windows that repeat among these rows; returns them as (row, offset)."""
         part = aligned(context, left)
         size = np.array([len(x) for x in context])
         rank = np.lexsort((pos, doc))
         place = np.empty_like(rank)
         place[rank] = np.arange(len(rank))
         row, offset = _repeats(part, left, size - left, place, width)
-        if not len(row):
-            return
-        order = np.lexsort((offset, row))
-        row, offset = row[order], offset[order]
-        cut = np.concatenate([[True], (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)])
-        first, last = np.flatnonzero(cut), np.concatenate([np.flatnonzero(cut)[1:], [len(row)]]) - 1
-        yield record(0, doc[row[first]], pos[row[first]] - offset[last], pos[row[first]] - offset[first] + width)
+        if len(row):
+            order = np.lexsort((offset, row))
+            row, offset = row[order], offset[order]
+            cut = np.concatenate([[True], (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)])
+            first, last = np.flatnonzero(cut), np.concatenate([np.flatnonzero(cut)[1:], [len(row)]]) - 1
+            yield record(0, doc[row[first]], pos[row[first]] - offset[last], pos[row[first]] - offset[first] + width)
+        return row, offset
 
     def run(batches):
         held, started = None, False
@@ -326,7 +331,7 @@ def _array_batches(width: int):
             body = key != key[-1]
             if not started and body.any():
                 cut = key == key[0]
-                yield from windows(rows[2][cut].tolist(), rows[3][cut].tolist(), rows[4][cut].tolist(), rows[5][cut])
+                yield from windows(rows[2][cut], rows[3][cut], rows[4][cut], rows[5][cut])
                 started, body = True, body & ~cut
             if body.any():
                 inner = [r[body] for r in rows]
@@ -334,13 +339,13 @@ def _array_batches(width: int):
                 many[:-1] |= many[1:]
                 if many.any():
                     inner = [r[many] for r in inner]
-                    yield from groups(inner[0], inner[2], inner[3].astype("<i8"), inner[4].astype("<i8"), inner[5])
+                    yield from repeats(inner[2], inner[3].astype("<i8"), inner[4].astype("<i8"), inner[5])
             held = [r[key == key[-1]] for r in rows]
             if not started and len(held[0]) > 50_000:  # a hot key that began before this bucket: nothing to wait for
-                yield from windows(held[2].tolist(), held[3].tolist(), held[4].tolist(), held[5])
+                yield from windows(*held[2:])
                 held = [h[-1:] for h in held]
         if held is not None:
-            yield from windows(held[2].tolist(), held[3].tolist(), held[4].tolist(), held[5])
+            yield from windows(*held[2:])
 
     return run
 
