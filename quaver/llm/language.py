@@ -21,6 +21,8 @@ FIT_ROWS, MAX_LANGUAGES = 300, 64
 BUCKET_BITS, SMOOTHING = 15, 0.5
 #: Trigrams that count as independent evidence at most; weight of the next level of a prior, in rows.
 EVIDENCE, PRIOR_ROWS = 40.0, 5.0
+#: Rows of each language that are taken to declare it, before any row is seen.
+DECLARED_ROWS = 20.0
 #: Below the lowest mean likelihood of training texts less MARGIN a text is in no language known; posteriors under
 #: LEAST are rejected.
 MARGIN, LEAST = 1.5, 0.5
@@ -132,6 +134,7 @@ def identified(rows: DataFrame, model: TextModel, text: str, declared: Column, h
     sums = [F.sum(F.get("alone", F.lit(i))).alias(f"n{i}") for i in range(n)]
     # P(declared | language): what texts say of each declaration; (languages + 1) ** 2 numbers
     table = np.full((n, n + 1), 1.0)
+    table[np.arange(n), np.arange(n)] += DECLARED_ROWS
     for r in seen.groupBy("said").agg(*sums).collect():
         at = model.languages.index(r.said) if r.said else n
         table[:, at] += [r[f"n{i}"] for i in range(n)]

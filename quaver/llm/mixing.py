@@ -14,8 +14,9 @@ WEIGHTS, CAP = (5, 2, 1), 3
 BITS, LEVELS = 12, 3
 #: Sources up to this many are broadcast; beyond, the join is by salted source.
 BROADCAST_SOURCES, SALTS = 100_000, 32
-#: Budgets that are met one after another: what the first threshold leaves is met by documents that fit into it.
-NESTED = 3
+#: Budgets that are met one after another: what the first threshold leaves is met by documents that fit into it, and
+#: what these leave by further copies of documents that fit.
+NESTED, EXTRA = 3, 2
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -97,8 +98,9 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, keep: tuple[str, ...
     A document's size is its number of words (null text: 0). Of each source the mix takes every document
     floor(target / source size) times, and once more those whose hash of doc_id and size is under a threshold.
     Thresholds are nested: what the first one leaves of the budget is filled by documents that fit in it and lie above
-    it, and so on; sources end a little under their target. Only the hash decides, so reruns agree, rows that repeat an
-    id and a size go together, and nothing is sorted. A null source is a source of
+    it, and so on; then by further copies, up to ``cap``; at the end the smallest document that brings a source nearer
+    goes in. Only hash and size decide, so reruns agree, rows that repeat an id and a size go together, and nothing is
+    sorted. A null source is a source of
     its own, the last; sources without words have target 0. An empty table gives an empty result.
     """
     digest = F.xxhash64(F.lit("mix"), F.col("doc_id").cast("string"), F.col("size"))
@@ -109,33 +111,43 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, keep: tuple[str, ...
     sources = targets.count()
     rows = sized.select("skey", "u", "size").where("size > 0")
 
-    budget = targets.select("skey", F.col("rest").alias("left"))
-    edges = None
-    for i in range(NESTED):
-        if i:
-            free = _with_source(rows, edges, sources)
-            taken = F.lit(False)
-            for k in range(i):
-                taken = taken | _under(k)
-            rows_left = free.where(~taken & (F.col("size") <= F.col("left"))).select("skey", "u", "size")
-            budget = edges.select("skey", "left")
-        else:
-            rows_left = _with_source(rows, budget, sources).where(F.col("size") <= F.col("left")).select("skey", "u", "size")
-        found = _threshold(rows_left, budget, sources).select("skey", F.col("edge").alias(f"edge{i}"), F.col("left").alias("next"))
-        base = edges if edges is not None else budget
-        edges = base.join(found, "skey").withColumnRenamed("left", f"left{i}").withColumnRenamed("next", "left")
-    once = F.lit(False)
-    for k in range(NESTED):
-        once = once | _under(k)
-    state = targets.drop("source").join(edges, "skey")
+    edges = targets.select("skey", "full", F.col("rest").alias("left"))
+    for i in range(NESTED + EXTRA):
+        copies = F.col("full") + _copies(i)
+        room = F.lit(cap) > copies
+        once = ~_once(i) if i < NESTED else F.lit(True)
+        fits = _with_source(rows, edges, sources).where(room & once & (F.col("size") <= F.col("left"))).select("skey", "u", "size")
+        found = _threshold(fits, edges.select("skey", "left"), sources).select("skey", F.col("edge").alias(f"edge{i}"), F.col("left").alias("next"))
+        edges = edges.join(found, "skey").withColumnRenamed("left", f"left{i}").withColumnRenamed("next", "left")
+    edges = materialize(edges, "edges")
+    near = _with_source(rows, edges, sources).where((F.lit(cap) > F.col("full") + _copies(NESTED + EXTRA)) & (F.col("size") < 2 * F.col("left")))
+    last = near.groupBy("skey").agg(F.min(F.struct("size", "u")).alias("last"))
+    state = targets.drop("source", "full").join(edges.join(last, "skey", "left"), "skey")
     whole = _with_source(sized, state, sources)
-    taken = F.col("size") * (F.col("full") + F.when(F.col("rest") > 0, once.cast("int")).otherwise(0))
+    more = F.coalesce((F.col("last.size") == F.col("size")) & (F.col("last.u") == F.col("u")), F.lit(False)).cast("int")
+    times = F.col("full") + F.when(F.col("rest") > 0, _copies(NESTED + EXTRA) + more).otherwise(0)
     return whole.select(
-        "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"),
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"),
         *[f"kept_{i}" for i in range(len(keep))],
     )
 
 
+def _once(passes: int) -> Column:
+    """Whether one of the first passes has taken the row once more."""
+    taken = F.lit(False)
+    for k in range(min(passes, NESTED)):
+        taken = taken | _under(k)
+    return taken
+
+
+def _copies(passes: int) -> Column:
+    """How often the passes so far have taken the row, beside the full rounds."""
+    count = _once(passes).cast("int")
+    for k in range(NESTED, passes):
+        count = count + _under(k).cast("int")
+    return count
+
+
 def _under(k: int) -> Column:
     return (F.col("u") < F.col(f"edge{k}")) & (F.col("size") <= F.col(f"left{k}"))
 
