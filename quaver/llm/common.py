@@ -63,6 +63,11 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """From now on the session hands Python workers at most so many bytes at a time: whole texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def word_count(text):
     """Number of maximal runs of bytes other than 0x20 and 0x09-0x0D; null counts 0."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE + "+")

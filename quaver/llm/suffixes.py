@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import materialize
+from quaver.llm.common import materialize, small_batches
 
 WIDTH = 100
 #: Bytes that a suffix in the array is first compared by, and the k-gram that elects anchors.
@@ -277,7 +277,10 @@ def _array_batches(width: int):
                 sum_ = hashlib.blake2b(x[at : at + width], digest_size=16).digest()
                 for o, v in zip(out, (d, p - l + at, int.from_bytes(sum_[:8], "little", signed=True), int.from_bytes(sum_[8:], "little", signed=True)), strict=True):
                     o.append(v)
-        yield record(1, out[0], out[1], np.array(out[1], dtype="<i8") + width, np.array(out[2], dtype="<i8"), np.array(out[3], dtype="<i8"))
+            if len(out[0]) > 50_000 or i == len(doc) - 1:
+                doc_, start, high, low = (np.array(o, dtype="<i8") for o in out)
+                yield record(1, doc_, start, start + width, high, low)
+                out = [], [], [], []
 
     def whole(doc, pos, left, size):
         """The bytes of all windows of a context that an earlier one equals."""
@@ -341,7 +344,7 @@ def _array_batches(width: int):
                     inner = [r[many] for r in inner]
                     yield from repeats(inner[2], inner[3].astype("<i8"), inner[4].astype("<i8"), inner[5])
             held = [r[key == key[-1]] for r in rows]
-            if not started and len(held[0]) > 50_000:  # a hot key that began before this bucket: nothing to wait for
+            if not started and len(held[0]) > 20_000:  # a hot key that began before this bucket: nothing to wait for
                 yield from windows(*held[2:])
                 held = [h[-1:] for h in held]
         if held is not None:
@@ -420,6 +423,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     narrow = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
         F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("data"),
