@@ -165,7 +165,7 @@ def _position(r: Column, line: str, space: str, inside: str, ledger: str, outsid
     away = F.when(r < 0, -r).otherwise(r - 8)
     side = F.when(r < 0, " below").otherwise(" above")
     off = F.when(away % 2 == 0, F.concat(F.floor(away / 2).cast("string"), F.lit(ledger), side, F.lit(outside)))
-    return F.when((r >= 0) & (r <= 8), on).otherwise(F.coalesce(off, F.concat(F.lit("ledger space"), side, F.lit(outside))))
+    return F.when(r.isNull(), None).when((r >= 0) & (r <= 8), on).otherwise(F.coalesce(off, F.concat(F.lit("ledger space"), side, F.lit(outside))))
 
 
 def step_token(step: Column, clef: Column) -> Column:
