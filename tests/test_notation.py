@@ -64,7 +64,7 @@ def test_command_line(spark):
     assert [r.midi for r in two] == [56, None, None, None, None, 62, 75]
     assert [r.error for r in two] == [None, "Note is too short: x", "Invalid note letter.", "Note is too short: C", "Missing octave in note: C#", None, None]
     moved = score.translated(lines.where("line_id = 1"), "treble", "bass").orderBy("seq").first()
-    assert (moved.pitch, moved.from_position, moved.to_position) == ("E5", "space 4 of the staff", "5 ledger line(s) above the staff")
+    assert (moved.pitch, moved.from_position, moved.to_position) == ("E5", "space 4 of the staff", "ledger space above the staff")
 
 
 def test_requests(spark):
