@@ -175,9 +175,11 @@ def documents_identified(docs: DataFrame, model: TextModel, name: str = "languag
 
 
 def query(spark, sf_dir):
-    """op5: language of every page."""
+    """op5: language of every page (page_id) and of every document (doc_id)."""
     from quaver.llm.common import table
 
-    model = fit(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
-    found = pages_identified(table(spark, sf_dir, "pages", "page_id", "url", "html"), model)
-    return found.select("page_id", "language.*")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    model = fit(docs)
+    pages = pages_identified(table(spark, sf_dir, "pages", "page_id", "url", "html"), model)
+    told = documents_identified(docs, model).select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("page_id"), "language.*")
+    return told.unionByName(pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", "language.*"))
