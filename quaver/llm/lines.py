@@ -9,34 +9,46 @@ from pyspark.sql import functions as F
 from quaver.llm.common import materialize
 from quaver.llm.components import connected_components
 
-#: Characters of a shingle, smallest hashes kept as a signature, and the Jaccard similarity of duplicates.
-SHINGLE, SIGNATURE, SIMILAR = 8, 4, 0.8
+#: Characters of a shingle, minima that make a signature, and the Jaccard similarity of duplicates.
+SHINGLE, MINIMA, SIMILAR = 8, 8, 0.8
+#: Each band takes the minima at these places from its own on, round the signature.
+BAND = (0, 1, 4)
 #: Lines of a band that all its others are compared with.
 HEADS = 3
 
 
-def shingle_hashes(line: Column) -> Column:
-    """Distinct hashes of the strings of SHINGLE characters (fewer at the end) that begin a line or follow a blank."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?<![^ ])(?=(.{{1,{SHINGLE}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
+def _shingle_starts(units: Column) -> Column:
+    """Places of the shingles of a line in UTF-32: every character that SHINGLE characters begin at; else the first."""
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(units) - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
+
+
+def _shingle_hash(units: Column, start: Column) -> Column:
+    return F.xxhash64(F.substring(units, start, F.lit(4 * SHINGLE)))
 
 
-def signature(hashes: Column) -> Column:
-    """The SIGNATURE smallest hashes."""
-    return F.slice(F.sort_array(hashes), 1, SIGNATURE)
+def shingle_hashes(line: Column) -> Column:
+    """Distinct hashes of all strings of SHINGLE characters of a line; of the whole line, if it is shorter."""
+    units = F.array(F.encode(line, "UTF-32"))
+    return F.get(F.transform(units, lambda u: F.array_distinct(F.transform(_shingle_starts(u), lambda i: _shingle_hash(u, i)))), F.lit(0))
 
 
-def bands(small: Column) -> Column:
-    """Keys of each pair of the hashes of a signature; of the one there is, if there is one only.
+def signatures(lines: DataFrame) -> DataFrame:
+    """(h, m0, m1, ...) of lines (h, line): for each of MINIMA anchors the least hash, as to the bits that differ from the anchor's.
 
-    The smallest hashes are a MinHash signature by one permutation. Lines that are SIMILAR share a pair with a
-    probability of 0.97 at least.
+    Anchors have leading bits of their own, so each minimum is that of a permutation of its own. Shingles are rows that
+    meet in the partition that already holds their line; none is shuffled.
     """
-    pairs = [
-        F.when(F.size(small) > j, F.xxhash64(F.get(small, F.lit(i)), F.get(small, F.lit(j)))) for i in range(SIGNATURE) for j in range(i + 1, SIGNATURE)
-    ]
-    pairs = F.array_compact(F.array(*pairs))
-    return F.when(F.size(small) > 1, pairs).otherwise(small)
+    units = lines.select("h", F.encode("line", "UTF-32").alias("units"))
+    starts = units.select("h", "units", F.explode(_shingle_starts(F.col("units"))).alias("start"))
+    hashes = starts.select("h", _shingle_hash(F.col("units"), F.col("start")).alias("s"))
+    step = (1 << 64) // MINIMA
+    return hashes.groupBy("h").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(i * step - (1 << 63)))).alias(f"m{i}") for i in range(MINIMA)])
+
+
+def bands() -> Column:
+    """Keys of the MINIMA bands of a signature. Lines that are SIMILAR share one with a probability of 0.97 at least."""
+    places = [[(i + j) % MINIMA for j in BAND] for i in range(MINIMA)]
+    return F.array(*[F.xxhash64(F.lit(i), *[F.col(f"m{j}") for j in band]) for i, band in enumerate(places)])
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -49,19 +61,16 @@ def similar_links(lines: DataFrame) -> DataFrame:
     """(a, b) hashes of different lines with a Jaccard similarity of SIMILAR or more, from lines (h, line).
 
     In an order of each band's own, a line is compared with the band's first HEADS lines and with the one before it: all
-    pairs of a band of up to HEADS + 2 lines, and a number in proportion to the lines of larger bands. A line has up to
-    six bands. Each comparison is over the whole shingle sets.
+    pairs of a band of up to HEADS + 2 lines, and a number in proportion to the lines of larger bands. A line has MINIMA
+    bands. Each comparison is over the whole shingle sets.
     """
     distinct = lines.groupBy("h").agg(F.min("line").alias("line"))
-    sets = distinct.select("h", shingle_hashes(F.col("line")).alias("set"))
-    signed = sets.select(F.struct("h", F.size("set").alias("n")).alias("x"), signature(F.col("set")).alias("small"))
-    keyed = signed.select("x", F.explode(bands(F.col("small"))).alias("key"))
-    order = W.partitionBy("key").orderBy(F.xxhash64("key", "x.h"), "x.h")
-    heads = [F.nth_value("x", i + 1).over(order).alias(f"head{i}") for i in range(HEADS)]
-    near = keyed.select("x", F.lag("x").over(order).alias("back"), *heads).where("back is not null")
-    near = near.select("x", F.explode(F.array_distinct(F.array("back", *[f"head{i}" for i in range(HEADS)]))).alias("y"))
-    near = near.where("y is not null and x.h <> y.h").where(F.least("x.n", "y.n") >= SIMILAR * F.greatest("x.n", "y.n"))  # else too unlike
-    pairs = near.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
+    keyed = signatures(distinct).select("h", F.explode(bands()).alias("key"))
+    order = W.partitionBy("key").orderBy(F.xxhash64("key", "h"), "h")
+    heads = [F.nth_value("h", i + 1).over(order).alias(f"head{i}") for i in range(HEADS)]
+    near = keyed.select("h", F.lag("h").over(order).alias("back"), *heads).where("back is not null")
+    near = near.select("h", F.explode(F.array_distinct(F.array("back", *[f"head{i}" for i in range(HEADS)]))).alias("other")).where("h <> other")
+    pairs = near.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
     pairs = pairs.join(distinct.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
     pairs = pairs.join(distinct.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
     pairs = pairs.select("a", "b", shingle_hashes(F.col("line_a")).alias("one"), shingle_hashes(F.col("line_b")).alias("two"))

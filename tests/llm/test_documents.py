@@ -248,7 +248,7 @@ def test_merkle_single(spark):
 
 
 def shingles(line):
-    return {line[i : i + 8] for i in range(len(line)) if line[i : i + 1] != "" and (i == 0 or line[i - 1] == " ")}
+    return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
 
 
 def brute_lines(rows):
