@@ -13,7 +13,7 @@ from quaver.llm.components import connected_components
 SHINGLE, MINIMA, SIMILAR = 8, 8, 0.8
 #: Each band takes the minima at these places from its own on, round the signature.
 BAND = (0, 1, 4)
-#: Lines of a band that all its others are compared with.
+#: Lines of a band that all its others are compared with first.
 HEADS = 3
 
 
@@ -57,27 +57,84 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.where(F.trim("line") != "").select("doc", "line_no", "line", F.xxhash64("line").alias("h"))
 
 
-def similar_links(lines: DataFrame) -> DataFrame:
-    """(a, b) hashes of different lines with a Jaccard similarity of SIMILAR or more, from lines (h, line).
-
-    In an order of each band's own, a line is compared with the band's first HEADS lines and with the one before it: all
-    pairs of a band of up to HEADS + 2 lines, and a number in proportion to the lines of larger bands. A line has MINIMA
-    bands. Each comparison is over the whole shingle sets.
-    """
+def band_mates(lines: DataFrame) -> DataFrame:
+    """(h, line, keys array<struct<key, n>>) of every distinct line of lines (h, line) that shares a band; n lines have the key."""
     distinct = lines.groupBy("h").agg(F.min("line").alias("line"))
     keyed = signatures(distinct).select("h", F.explode(bands()).alias("key"))
+    shared = keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 1")
+    return distinct.join(shared.groupBy("h").agg(F.collect_list(F.struct("key", "n")).alias("keys")), "h")  # MINIMA keys at most
+
+
+def star_pairs(mates: DataFrame) -> DataFrame:
+    """(a, b): in an order of each band's own, every line with the band's first HEADS lines and with the one before it.
+
+    These are all pairs of a band of up to HEADS + 2 lines, and a number in proportion to the lines of larger bands.
+    """
+    keyed = mates.select("h", F.explode("keys").alias("band")).select("h", "band.key")
     order = W.partitionBy("key").orderBy(F.xxhash64("key", "h"), "h")
     heads = [F.nth_value("h", i + 1).over(order).alias(f"head{i}") for i in range(HEADS)]
     near = keyed.select("h", F.lag("h").over(order).alias("back"), *heads).where("back is not null")
     near = near.select("h", F.explode(F.array_distinct(F.array("back", *[f"head{i}" for i in range(HEADS)]))).alias("other")).where("h <> other")
-    pairs = near.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
-    pairs = pairs.join(distinct.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
-    pairs = pairs.join(distinct.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
+    return near.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
+
+
+def similar_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose whole shingle sets have a Jaccard similarity of SIMILAR or more. lines: h, line."""
+    pairs = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
+    pairs = pairs.join(lines.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
     pairs = pairs.select("a", "b", shingle_hashes(F.col("line_a")).alias("one"), shingle_hashes(F.col("line_b")).alias("two"))
     pairs = pairs.select("a", "b", F.size(F.array_intersect("one", "two")).alias("shared"), (F.size("one") + F.size("two")).alias("both"))
     return pairs.where(F.col("shared") >= SIMILAR * (F.col("both") - F.col("shared"))).select("a", "b")
 
 
+def unsettled(mates: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h, line, root) of the lines of bands that star_pairs() did not compare whole and that hold more than one component."""
+    rooted = mates.join(roots, mates.h == roots.node, "left").select("h", "line", "keys", F.coalesce("root", "h").alias("root"))
+    keyed = rooted.select("h", "root", F.explode("keys").alias("band")).where(f"band.n > {HEADS + 2}").select("h", "root", "band.key")
+    split = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    left = keyed.join(split, "key").select("h").distinct()
+    return rooted.join(left, "h").select("h", "line", "root")
+
+
+def prefix_pairs(lines: DataFrame) -> DataFrame:
+    """(a, b): every pair of lines (h, line, root) of different roots that may be SIMILAR; none that is gets lost.
+
+    With all shingles in one order, the rarest first, two sets of a Jaccard similarity of t share a shingle among the
+    first n - ceil(t n) + 1 of each. Only those few are joined, and shingles that one line alone has drop out. At the
+    first shingle shared, the sizes and what is left behind it must allow the overlap that t asks for. Counts are
+    aggregated before they are shuffled; both joins are by shingle, whose large partitions adaptive execution splits.
+    """
+    sets = lines.select("h", "root", F.explode(shingle_hashes(F.col("line"))).alias("s"))
+    counts = sets.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    ordered = sets.join(counts, "s").groupBy("h", "root").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("set"))
+    # A hair less than t, so that no rounding shortens a prefix or raises a bound.
+    least = SIMILAR - 1e-9
+    prefix = F.expr("slice(set, 1, 1 + size(set) - least_shared)")
+    ordered = ordered.withColumn("least_shared", F.ceil(F.size("set") * F.lit(least)).cast("int"))
+    first = ordered.select("h", "root", F.size("set").alias("size"), F.posexplode(prefix).alias("at", "of")).where("of.n > 1")
+    first = first.select("h", "root", "size", "at", F.col("of.s").alias("s"))
+    one = first.select("s", *[F.col(c).alias(f"{c}_a") for c in ("h", "root", "size", "at")])
+    two = first.select("s", *[F.col(c).alias(f"{c}_b") for c in ("h", "root", "size", "at")])
+    met = one.join(two, "s").where("h_a < h_b and root_a <> root_b")
+    most = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    met = met.where(most >= F.lit(least / (1 + least)) * (F.col("size_a") + F.col("size_b")))
+    return met.select(F.col("h_a").alias("a"), F.col("h_b").alias("b")).distinct()
+
+
+def similar_links(lines: DataFrame) -> DataFrame:
+    """(a, b) hashes of lines (h, line): links between the same lines, over steps, as the pairs that are SIMILAR make.
+
+    Candidates share a band. Small bands are compared whole. In larger ones each line is compared with a few others
+    first, which joins most of what is alike in work that grows with the lines. Lines of bands that are then still in
+    several components are compared by prefix_pairs(), which loses no pair between components.
+    """
+    mates = materialize(band_mates(lines), "line-mates")
+    roots = materialize(connected_components(similar_pairs(star_pairs(mates), mates)), "line-roots")
+    left = materialize(unsettled(mates, roots), "lines-unsettled")
+    late = similar_pairs(prefix_pairs(left), left)
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late)
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines (sorted numbers from 0) of every row of docs (doc_id, text).
 

@@ -294,3 +294,39 @@ def test_band_recall(spark):
     names = {r.h: r.line for r in df.collect()}
     found = {frozenset((names[r.a], names[r.b])) for r in lines.similar_links(df).collect()}
     assert len(want) > 300 and sum(frozenset(p) in found for p in want) >= 0.96 * len(want)
+
+
+def test_large_bands(spark):
+    """Lines of one large band: no pair between components is lost, whichever lines the band's heads are."""
+    rng = random.Random(4)
+    made = set()
+    for family in range(6):
+        words = [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(30)]
+        for _ in range(25):
+            other = list(words)
+            for _ in range(rng.randint(0, 5)):
+                other[rng.randint(0, 29)] = str(rng.randint(0, 999))
+            made.add(" ".join(other))
+    made = sorted(made)
+    links = [(a, b) for a in made for b in made if a < b and len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b))]
+    want = groups(links, made)
+    df = spark.createDataFrame([(x,) for x in made], "line string").withColumn("h", F.xxhash64("line"))
+    names = {r.h: r.line for r in df.collect()}
+    left = df.withColumn("root", F.col("h"))
+    pairs = lines.similar_pairs(lines.prefix_pairs(left), left).collect()
+    assert {frozenset((names[r.a], names[r.b])) for r in pairs} == {frozenset(p) for p in links}
+    mates = df.withColumn("keys", F.array(F.struct(F.lit(1).cast("long").alias("key"), F.lit(len(made)).cast("long").alias("n"))))
+    first = lines.similar_pairs(lines.star_pairs(mates), mates)
+    roots = components.connected_components(first)
+    left = lines.unsettled(mates, roots)
+    late = lines.similar_pairs(lines.prefix_pairs(left), left)
+    found = components.connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
+    found = {names[r.node]: names[r.root] for r in found.collect()}
+    classes = defaultdict(set)
+    for x in made:
+        classes[found.get(x, x)].add(x)
+    expected = defaultdict(set)
+    for x in made:
+        expected[want[x]].add(x)
+    assert {frozenset(c) for c in classes.values()} == {frozenset(c) for c in expected.values()}
+    assert len(expected) > 6
