@@ -15,6 +15,8 @@ SHINGLE, MINIMA, SIMILAR = 8, 8, 0.8
 BAND = (0, 1, 4)
 #: Lines of a band that all its others are compared with first.
 HEADS = 3
+#: A table of shingles and counts up to this many rows is broadcast (under 64 MB); beyond, the join is a shuffle.
+BROADCAST_SHINGLES = 1_000_000
 
 
 def _shingle_starts(units: Column) -> Column:
@@ -102,17 +104,26 @@ def prefix_pairs(lines: DataFrame) -> DataFrame:
     With all shingles in one order, the rarest first, two sets of a Jaccard similarity of t share a shingle among the
     first n - ceil(t n) + 1 of each. Only those few are joined, and shingles that one line alone has drop out. At the
     first shingle shared, the sizes and what is left behind it must allow the overlap that t asks for. Counts are
-    aggregated before they are shuffled; both joins are by shingle, whose large partitions adaptive execution splits.
+    aggregated before they are shuffled; a line's shingles stay in the partition that holds the line. Joins are by
+    shingle, and adaptive execution splits their large partitions. Shingles are told apart by 48 bits of their hash,
+    under 15 bits of their count: a clash gives a candidate more.
     """
-    sets = lines.select("h", "root", F.explode(shingle_hashes(F.col("line"))).alias("s"))
-    counts = sets.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    ordered = sets.join(counts, "s").groupBy("h", "root").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("set"))
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as the lines are few bytes but much work
+    units = lines.repartition(parts, "h").select("h", "root", F.encode("line", "UTF-32").alias("units"))
+    starts = units.select("h", "root", "units", F.explode(_shingle_starts(F.col("units"))).alias("start"))
+    hashed = _shingle_hash(F.col("units"), F.col("start")).bitwiseAND(F.lit((1 << 48) - 1))
+    sets = starts.select("h", "root", hashed.alias("s")).groupBy("h", "root", "s").agg(F.lit(1).alias("one")).select("h", "root", "s")
+    common = sets.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = materialize(common.select(F.col("s").alias("of"), F.least("n", F.lit((1 << 15) - 1)).alias("n")), "common-shingles")
+    few = common.count() <= BROADCAST_SHINGLES
+    counted = sets.join(F.broadcast(common) if few else common, F.col("s") == F.col("of"), "left")
+    placed = F.shiftleft(F.coalesce("n", F.lit(1)), 48).bitwiseOR(F.col("s"))
+    ordered = counted.groupBy("h", "root").agg(F.sort_array(F.collect_list(placed)).alias("set"))
     # A hair less than t, so that no rounding shortens a prefix or raises a bound.
     least = SIMILAR - 1e-9
-    prefix = F.expr("slice(set, 1, 1 + size(set) - least_shared)")
     ordered = ordered.withColumn("least_shared", F.ceil(F.size("set") * F.lit(least)).cast("int"))
-    first = ordered.select("h", "root", F.size("set").alias("size"), F.posexplode(prefix).alias("at", "of")).where("of.n > 1")
-    first = first.select("h", "root", "size", "at", F.col("of.s").alias("s"))
+    first = ordered.select("h", "root", F.size("set").alias("size"), F.posexplode(F.expr("slice(set, 1, 1 + size(set) - least_shared)")).alias("at", "s"))
+    first = first.where(F.col("s") >= F.lit(2 << 48))
     one = first.select("s", *[F.col(c).alias(f"{c}_a") for c in ("h", "root", "size", "at")])
     two = first.select("s", *[F.col(c).alias(f"{c}_b") for c in ("h", "root", "size", "at")])
     met = one.join(two, "s").where("h_a < h_b and root_a <> root_b")
