@@ -54,9 +54,15 @@ def bands() -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc, line_no, line, h) of every line that is not blank. Lines are set apart by line feeds."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("line_no", "line"))
-    return rows.where(F.trim("line") != "").select("doc", "line_no", "line", F.xxhash64("line").alias("h"))
+    """(doc, text_id, line_no, line, h) of every line that is not blank. Lines are set apart by line feeds."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text_id().alias("text_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return rows.where(F.trim("line") != "").select("doc", "text_id", "line_no", "line", F.xxhash64("line").alias("h"))
+
+
+def text_id() -> Column:
+    """What tells rows with one doc_id, or with none, apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def band_mates(lines: DataFrame) -> DataFrame:
@@ -151,36 +157,45 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     Lines that are equal or SIMILAR, over steps as well, are one component; the line that stays is the component's first
     by doc_id and line number. Blank lines are no lines here and always stay. Null texts have no lines; null doc_ids come
-    after all others. Of rows that repeat an id, equal line numbers are taken as one line. An empty table gives an empty
-    result; other columns are ignored. Lines are told apart by a 64-bit hash.
+    after all others. Different texts under one id, or under none, are documents of their own, in the order of their
+    hashes; rows with equal ids and texts are one document, and each is returned. An empty table gives an empty result;
+    other columns are ignored. Lines, and texts of one id, are told apart by a 64-bit hash.
     """
+    return _removed(docs).drop("of_text")
+
+
+def _removed(docs: DataFrame) -> DataFrame:
+    """Rows of repeated_lines(), with of_text: the text_id() of each."""
     last = F.lit((1 << 63) - 1)
     lines = lines_of(docs).withColumn("doc", F.coalesce("doc", last))
     roots = connected_components(similar_links(lines.select("h", "line")))
-    places = lines.select("h", "doc", "line_no")
-    classes = places.groupBy("h").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    places = lines.select("h", "doc", "text_id", "line_no")
+    classes = places.groupBy("h").agg(F.min(F.struct("doc", "text_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     classes = classes.join(roots, classes.h == roots.node, "left").select("h", "first", "n", F.coalesce("root", "h").alias("root"))
     classes = materialize(classes, "line-classes")
     groups = classes.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")
     stays = classes.join(groups, "root").select(F.col("h").alias("of"), "keep")
-    gone = places.join(stays, places.h == stays.of).where("struct(doc, line_no) <> keep")
-    gone = gone.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
+    gone = places.join(stays, places.h == stays.of).where("struct(doc, text_id, line_no) <> keep")
+    gone = gone.groupBy("doc", "text_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).cast("long").alias("n_lines"))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("of_text"), F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).cast("long").alias("n_lines"))
     sizes = sizes.withColumn("id", F.coalesce("doc_id", last))
-    found = sizes.join(gone, sizes.id == gone.doc, "left")
+    found = sizes.join(gone, (sizes.id == gone.doc) & (sizes.of_text == gone.text_id), "left")
     removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
-    return found.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+    return found.select("doc_id", "of_text", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines that repeated_lines() names cut from column text; all rows and columns stay."""
-    found = repeated_lines(docs).where("n_removed > 0").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("gone_from"), "removed_lines").dropDuplicates(["gone_from"])
+    last = F.lit((1 << 63) - 1)
+    found = _removed(docs).where("n_removed > 0").select(F.coalesce("doc_id", last).alias("gone_from"), F.col("of_text").alias("gone_text"), "removed_lines")
+    found = found.dropDuplicates(["gone_from", "gone_text"])
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("kept"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"))
+    kept = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("kept")
+    rows = docs.select(kept, F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), text_id().alias("of_text"))
     text = F.col(f"kept.c{names.index('text')}")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
-    rows = rows.join(found, F.col("id") == F.col("gone_from"), "left")
+    rows = rows.join(found, (F.col("id") == F.col("gone_from")) & (F.col("of_text") == F.col("gone_text")), "left")
     return rows.select(*[(F.when(F.col("removed_lines").isNull(), text).otherwise(left) if c == "text" else F.col(f"kept.c{i}")).alias(c) for i, c in enumerate(names)])
 
 

@@ -281,6 +281,34 @@ def test_lines(docs, rows, empty):
         assert r.text == left
 
 
+def test_lines_of_repeated_ids(spark):
+    """Null ids, and one id, with different texts: each text is a document of its own."""
+    rng = random.Random(12)
+    own = [prose(rng, 25) for _ in range(8)]
+    again = prose(rng, 25)
+    made = [(1, again), (None, f"{again}\n{own[0]}\n{own[1]}"), (None, f"{own[2]}\n{own[3]}"), (None, own[4]), (None, f"{own[5]}\n{own[4]}")]
+    made += [(7, f"{own[6]}\n{again}"), (7, f"{own[7]}\n{prose(rng, 25)}"), (7, f"{own[6]}\nlast"), (None, None)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    last = (1 << 63) - 1
+    order = sorted({(last if i is None else i, hash_of(t or ""), t or "") for i, t in made})
+    seen, want = set(), {}
+    for i, _, text in order:
+        parts = text.split("\n") if text else []
+        want[(i, text)] = [n for n, x in enumerate(parts) if x in seen or seen.add(x)]
+    assert sum(map(len, want.values())) == 4
+    left = {(i, t): "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone) for (i, t), gone in want.items()}
+    found = lines.repeated_lines(df).collect()
+    assert Counter((r.doc_id, r.n_lines, tuple(r.removed_lines)) for r in found) == Counter((i, len((t or "").split("\n")) if t else 0, tuple(want[(last if i is None else i, t or "")])) for i, t in made)
+    cut = lines.without_repeated_lines(df).collect()
+    assert Counter((r.doc_id, r.text) for r in cut) == Counter((i, t and left[(last if i is None else i, t)]) for i, t in made)
+
+
+def hash_of(text):
+    """Spark's xxhash64() of a text."""
+    found = xxhash.xxh64_intdigest(text.encode(), 42)
+    return found - (1 << 64) if found >> 63 else found
+
+
 def test_band_recall(spark):
     rng = random.Random(9)
     made = []
