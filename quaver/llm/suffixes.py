@@ -163,12 +163,12 @@ def _record(text, pos):
 
 
 def _context_batches(width: int):
-    """(doc_id, data, spots) to the bytes around each spot, with what the array sorts by."""
+    """(doc_id, data, spots, text_id) to the bytes around each spot, with what the array sorts by."""
     reach = width - LEAD
 
     def run(batches):
         for batch in batches:
-            docs, spots = batch.column(0), batch.column(2)
+            docs, spots, texts = batch.column(0), batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
                 data = np.frombuffer(batch.column(1)[i].as_buffer(), dtype=np.uint8)
                 at = np.asarray(spots[i].values).astype(np.int64)
@@ -182,8 +182,8 @@ def _context_batches(width: int):
                 context = [raw[a - l : a + r] for a, l, r in zip(at, left, right, strict=True)]
                 digest = [int.from_bytes(hashlib.blake2b(b"%d " % l + x, digest_size=8).digest(), "little", signed=True) for l, x in zip(left, context, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view("<i8")), pa.array(digest, pa.int64()), pa.array([docs[i].as_py()] * len(at), pa.int64()), pa.array(at.astype("<i4")), pa.array(left.astype("<i2")), pa.array(context, pa.binary())],
-                    ["key", "digest", "doc", "pos", "lft", "context"],
+                    [pa.array(key.view("<i8")), pa.array(digest, pa.int64()), pa.array([docs[i].as_py()] * len(at), pa.int64()), pa.array([texts[i].as_py()] * len(at), pa.int64()), pa.array(at.astype("<i4")), pa.array(left.astype("<i2")), pa.array(context, pa.binary())],
+                    ["key", "digest", "doc", "text_id", "pos", "lft", "context"],
                 )
 
     return run
@@ -241,17 +241,17 @@ def _repeats(context: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.
     return (np.concatenate(rows), np.concatenate(offsets)) if rows else (np.empty(0, int), np.empty(0, int))
 
 
-_OUT = ["kind", "doc", "start", "stop", "high", "low"]
+_OUT = ["kind", "doc", "text_id", "start", "stop", "high", "low"]
 
 
 def _array_batches(width: int):
     """Sorted suffixes with context to intervals (kind 0) and to windows of groups that the bucket's ends cut (kind 1)."""
     reach = width - LEAD
 
-    def record(kind, doc, start, stop, high=None, low=None):
+    def record(kind, doc, text, start, stop, high=None, low=None):
         n, zero = len(doc), np.zeros(len(doc), dtype="<i8")
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, kind, dtype="<i4")), pa.array(np.asarray(doc, dtype="<i8")), pa.array(np.asarray(start, dtype="<i8")), pa.array(np.asarray(stop, dtype="<i8")), pa.array(zero if high is None else high), pa.array(zero if low is None else low)],
+            [pa.array(np.full(n, kind, dtype="<i4")), pa.array(np.asarray(doc, dtype="<i8")), pa.array(np.asarray(text, dtype="<i8")), pa.array(np.asarray(start, dtype="<i8")), pa.array(np.asarray(stop, dtype="<i8")), pa.array(zero if high is None else high), pa.array(zero if low is None else low)],
             _OUT,
         )
 
@@ -261,39 +261,39 @@ def _array_batches(width: int):
             out[i, reach - l : reach - l + len(x)] = np.frombuffer(x, dtype=np.uint8)
         return out
 
-    def windows(doc, pos, left, context):
+    def windows(doc, text, pos, left, context):
         """Of a part of a group: windows that repeat within the part, as intervals; of the others, each window's digest."""
         if not len(doc):
             return
         pos, left = pos.astype("<i8"), left.astype("<i8")
-        row, offset = yield from repeats(doc, pos, left, context)
+        row, offset = yield from repeats(doc, text, pos, left, context)
         known = np.zeros((len(doc), reach + 1), dtype=bool)
         known[row, offset] = True
-        out = [], [], [], []
-        for i, (d, p, l, x) in enumerate(zip(doc.tolist(), pos.tolist(), left.tolist(), context, strict=True)):
+        out = [], [], [], [], []
+        for i, (d, t, p, l, x) in enumerate(zip(doc.tolist(), text.tolist(), pos.tolist(), left.tolist(), context, strict=True)):
             for at in range(0, min(l + 1, len(x) - width + 1)):
                 if known[i, l - at]:
                     continue
                 sum_ = hashlib.blake2b(x[at : at + width], digest_size=16).digest()
-                for o, v in zip(out, (d, p - l + at, int.from_bytes(sum_[:8], "little", signed=True), int.from_bytes(sum_[8:], "little", signed=True)), strict=True):
+                for o, v in zip(out, (d, t, p - l + at, int.from_bytes(sum_[:8], "little", signed=True), int.from_bytes(sum_[8:], "little", signed=True)), strict=True):
                     o.append(v)
             if len(out[0]) > 50_000 or i == len(doc) - 1:
-                doc_, start, high, low = (np.array(o, dtype="<i8") for o in out)
-                yield record(1, doc_, start, start + width, high, low)
-                out = [], [], [], []
+                doc_, text_, start, high, low = (np.array(o, dtype="<i8") for o in out)
+                yield record(1, doc_, text_, start, start + width, high, low)
+                out = [], [], [], [], []
 
-    def whole(doc, pos, left, size):
+    def whole(doc, text, pos, left, size):
         """The bytes of all windows of a context that an earlier one equals."""
         right = size - left
         shortest = np.maximum(0, width - right)
         fits = shortest <= left
-        return record(0, doc[fits], (pos - left)[fits], (pos - shortest + width)[fits])
+        return record(0, doc[fits], text[fits], (pos - left)[fits], (pos - shortest + width)[fits])
 
-    def repeats(doc, pos, left, context):
+    def repeats(doc, text, pos, left, context):
         """Yields the intervals of windows that repeat among these rows; returns them as (row, offset)."""
         part = aligned(context, left)
         size = np.array([len(x) for x in context])
-        rank = np.lexsort((pos, doc))
+        rank = np.lexsort((pos, text, doc))
         place = np.empty_like(rank)
         place[rank] = np.arange(len(rank))
         row, offset = _repeats(part, left, size - left, place, width)
@@ -302,13 +302,13 @@ def _array_batches(width: int):
             row, offset = row[order], offset[order]
             cut = np.concatenate([[True], (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)])
             first, last = np.flatnonzero(cut), np.concatenate([np.flatnonzero(cut)[1:], [len(row)]]) - 1
-            yield record(0, doc[row[first]], pos[row[first]] - offset[last], pos[row[first]] - offset[first] + width)
+            yield record(0, doc[row[first]], text[row[first]], pos[row[first]] - offset[last], pos[row[first]] - offset[first] + width)
         return row, offset
 
     def run(batches):
         held, started = None, False
 
-        def sift(key, digest, doc, pos, left, context):
+        def sift(key, digest, doc, text, pos, left, context):
             """Splits rows of whole keys into repeats as a whole and representatives."""
             same = np.concatenate([[False], (key[1:] == key[:-1]) & (digest[1:] == digest[:-1])])
             for i in np.flatnonzero(same):
@@ -319,22 +319,22 @@ def _array_batches(width: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [np.asarray(batch.column(i)) for i in range(5)] + [np.array(batch.column(5).to_pylist() + [None], dtype=object)[:-1]]
+            rows = [np.asarray(batch.column(i)) for i in range(6)] + [np.array(batch.column(6).to_pylist() + [None], dtype=object)[:-1]]
             if held is not None:
                 rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
             again = np.ones(len(rows[0]), dtype=bool)  # a repeated row gives each of its suffixes again
-            again[1:] = np.any([r[1:] != r[:-1] for r in rows[:4]], axis=0)
+            again[1:] = np.any([r[1:] != r[:-1] for r in rows[:5]], axis=0)
             rows = [r[again] for r in rows]
             same = sift(*rows)
             if same.any():
-                size = np.array([len(x) for x in rows[5][same]])
-                yield whole(rows[2][same], rows[3][same].astype("<i8"), rows[4][same].astype("<i8"), size)
+                size = np.array([len(x) for x in rows[6][same]])
+                yield whole(rows[2][same], rows[3][same], rows[4][same].astype("<i8"), rows[5][same].astype("<i8"), size)
             rows = [r[~same] for r in rows]
             key = rows[0]
             body = key != key[-1]
             if not started and body.any():
                 cut = key == key[0]
-                yield from windows(rows[2][cut], rows[3][cut], rows[4][cut], rows[5][cut])
+                yield from windows(*[r[cut] for r in rows[2:]])
                 started, body = True, body & ~cut
             if body.any():
                 inner = [r[body] for r in rows]
@@ -342,7 +342,7 @@ def _array_batches(width: int):
                 many[:-1] |= many[1:]
                 if many.any():
                     inner = [r[many] for r in inner]
-                    yield from repeats(inner[2], inner[3].astype("<i8"), inner[4].astype("<i8"), inner[5])
+                    yield from repeats(inner[2], inner[3], inner[4].astype("<i8"), inner[5].astype("<i8"), inner[6])
             held = [r[key == key[-1]] for r in rows]
             if not started and len(held[0]) > 20_000:  # a hot key that began before this bucket: nothing to wait for
                 yield from windows(*held[2:])
@@ -359,22 +359,22 @@ def _boundary_batches(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        high, low, doc, start = (np.asarray(batch.column(i)) for i in range(4))
+        high, low, doc, text, start = (np.asarray(batch.column(i)) for i in range(5))
         if last is None:
-            yield _window_record(2, high[:1], low[:1], doc[:1], start[:1])
-            joined = [high, low, doc, start]
+            yield _window_record(2, high[:1], low[:1], doc[:1], text[:1], start[:1])
+            joined = [high, low, doc, text, start]
         else:
-            joined = [np.concatenate([a, b]) for a, b in zip(last, (high, low, doc, start), strict=True)]
-        high, low, doc, start = joined
-        same = np.flatnonzero((high[1:] == high[:-1]) & (low[1:] == low[:-1]) & ((doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))) + 1
-        yield _window_record(0, high[same], low[same], doc[same], start[same])
+            joined = [np.concatenate([a, b]) for a, b in zip(last, (high, low, doc, text, start), strict=True)]
+        high, low, doc, text, start = joined
+        same = np.flatnonzero((high[1:] == high[:-1]) & (low[1:] == low[:-1]) & ((doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1]))) + 1
+        yield _window_record(0, high[same], low[same], doc[same], text[same], start[same])
         last = [x[-1:] for x in joined]
     if last is not None:
         yield _window_record(3, *last)
 
 
-def _window_record(kind, high, low, doc, start):
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, dtype="<i4")), *map(pa.array, (high, low, doc, start))], ["kind", "high", "low", "doc", "start"])
+def _window_record(kind, high, low, doc, text, start):
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, dtype="<i4")), *map(pa.array, (high, low, doc, text, start))], ["kind", "high", "low", "doc", "text_id", "start"])
 
 
 def _removal_batches(width: int):
@@ -417,9 +417,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, stop: removed bytes), kept_sha256 of every row of docs (doc_id, text).
 
     A byte is removed if a string of ``width`` bytes that covers it also starts earlier (smaller doc_id, or the same
-    document at an earlier start) in the input. Null texts are empty. Null doc_ids come after all others. Rows are
-    expected to have an id of their own; of rows that repeat an id, those with equal texts count as one document and are
-    each returned. Texts shorter than the width lose nothing. An empty table gives an empty result; other columns are
+    document at an earlier start) in the input. Null texts are empty. Null doc_ids come after all others. Different
+    texts under one id, or under none, are documents of their own, in the order of their digests; rows with equal ids and
+    texts are one document, and each is returned. Texts shorter than the width lose nothing. An empty table gives an empty result; other columns are
     ignored.
     """
     spark = docs.sparkSession
@@ -441,24 +441,24 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     texts = narrow.select("doc", "data", "text_id")
     around = (
         texts.select("doc", "data", "text_id").join(spots.select("doc", F.col("text_id").alias("of"), "spots"), "doc").where("text_id = of")
-        .select("doc", "data", "spots")
-        .mapInArrow(_context_batches(width), "key long, digest long, doc long, pos int, lft short, context binary")
+        .select("doc", "data", "spots", "text_id")
+        .mapInArrow(_context_batches(width), "key long, digest long, doc long, text_id long, pos int, lft short, context binary")
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    around = around.repartitionByRange(parts, "key", "digest", "doc", "pos").sortWithinPartitions("key", "digest", "doc", "pos")
-    split = materialize(around.mapInArrow(_array_batches(width), "kind int, doc long, start long, stop long, high long, low long"), "repeats")
-
-    windows = split.where("kind = 1").select("high", "low", "doc", "start")
-    windows = windows.repartitionByRange(parts, "high", "low", "doc", "start").sortWithinPartitions("high", "low", "doc", "start")
-    told = materialize(windows.mapInArrow(_boundary_batches, "kind int, high long, low long, doc long, start long"), "windows")
-    last = told.where("kind = 3").groupBy("high", "low").agg(F.min(F.struct("doc", "start")).alias("one"))
-    cut = told.where("kind = 2").join(last, ["high", "low"]).where("one < struct(doc, start)")
+    around = around.repartitionByRange(parts, "key", "digest", "doc", "text_id", "pos").sortWithinPartitions("key", "digest", "doc", "text_id", "pos")
+    split = materialize(around.mapInArrow(_array_batches(width), "kind int, doc long, text_id long, start long, stop long, high long, low long"), "repeats")
+
+    windows = split.where("kind = 1").select("high", "low", "doc", "text_id", "start")
+    windows = windows.repartitionByRange(parts, "high", "low", "doc", "text_id", "start").sortWithinPartitions("high", "low", "doc", "text_id", "start")
+    told = materialize(windows.mapInArrow(_boundary_batches, "kind int, high long, low long, doc long, text_id long, start long"), "windows")
+    last = told.where("kind = 3").groupBy("high", "low").agg(F.min(F.struct("doc", "text_id", "start")).alias("one"))
+    cut = told.where("kind = 2").join(last, ["high", "low"]).where("one < struct(doc, text_id, start)")
     spans = (
-        split.where("kind = 0").select("doc", "start", "stop")
-        .union(told.where("kind = 0").unionByName(cut.select(told.columns)).select("doc", "start", (F.col("start") + width).alias("stop")))
-        .groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+        split.where("kind = 0").select("doc", "text_id", "start", "stop")
+        .union(told.where("kind = 0").unionByName(cut.select(told.columns)).select("doc", "text_id", "start", (F.col("start") + width).alias("stop")))
+        .groupBy("doc", "text_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     )
-    first = classes.join(spans, "doc", "left").select(F.col("text_id").alias("of"), F.col("doc").alias("at"), "spans")
+    first = classes.join(spans, ["doc", "text_id"], "left").select(F.col("text_id").alias("of"), F.col("doc").alias("at"), "spans")
     whole = (
         texts.join(first, (texts.doc == first["at"]) & (texts.text_id == first["of"]), "left")
         .select(F.when(F.col("doc") != F.lit((1 << 63) - 1), F.col("doc")).alias("doc_id"), "data", F.col("at").isNotNull().alias("is_first"), "spans")

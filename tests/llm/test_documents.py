@@ -136,6 +136,30 @@ def test_suffixes(spark, docs, rows, empty, parts):
     assert suffixes.repeated_spans(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts", ["4", "37"])
+def test_suffixes_of_repeated_ids(spark, parts):
+    """Null ids, and one id, with different texts: each text is a document of its own."""
+    rng = random.Random(13)
+    shared, hot = prose(rng, 40), prose(rng, 60)
+    made = [(None, f"{prose(rng, n)} {shared} {prose(rng, 30)}") for n in (5, 5, 9, 40)] + [(None, prose(rng, 80)), (None, None)]
+    made += [(4, shared + prose(rng, 50)), (4, prose(rng, 20)), (4, prose(rng, 50) + shared), (9, prose(rng, 90))]
+    made += [(None, shared + "same start " + prose(rng, 30)), (None, shared + "same start, other end " + prose(rng, 30))]
+    made += [(None if i % 2 else 11, prose(rng, 3) + hot) for i in range(40)]
+    made += [(5, made[4][1]), made[0]]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    last = (1 << 63) - 1
+    names = {(last if i is None else i, hash_of(t or "")): t for i, t in made}
+    spans = brute_spans([(k, names[k]) for k in sorted(names)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        found = suffixes.repeated_spans(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = Counter((i, *spans[last if i is None else i, hash_of(t or "")]) for i, t in made)
+    assert Counter((r.doc_id, r.n_bytes, sum(s["stop"] - s["start"] for s in r.spans), len(r.spans), r.kept_sha256) for r in found) == want
+
+
 def test_multikey_order():
     import numpy as np
 
