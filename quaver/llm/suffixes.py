@@ -135,13 +135,12 @@ def bucket(key: np.ndarray, text: np.ndarray, split_keys: np.ndarray, split_text
 
 def _candidate_batches(batches):
     """Sorted (key, text_id, pos): those that share their key with another. The bucket's first and last always stay."""
-    held = None
+    held, first = None, True  # first: the bucket's first run has not ended yet
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = [np.asarray(batch.column(i)) for i in range(3)]
-        first = held is None
-        if not first:
+        if held is not None:
             rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
         key = rows[0]
         same = key[1:] == key[:-1]
@@ -153,6 +152,7 @@ def _candidate_batches(batches):
         tail = run == run[-1]
         keep = fresh & (mixed[run] | (first & (run == 0))) & ~tail
         yield _record(rows[1][keep], rows[2][keep])
+        first = first and not run[-1]
         held = [r[tail & fresh] for r in rows]
     if held is not None:
         yield _record(held[1], held[2])

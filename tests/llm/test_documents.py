@@ -160,6 +160,19 @@ def test_suffixes_of_repeated_ids(spark, parts):
     assert Counter((r.doc_id, r.n_bytes, sum(s["stop"] - s["start"] for s in r.spans), len(r.spans), r.kept_sha256) for r in found) == want
 
 
+def test_first_key_of_a_bucket_stays():
+    """A first key whose copies fill whole batches is kept: the bucket before may end with it."""
+    import pyarrow as pa
+
+    def batch(*rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["key", "text_id", "pos"])
+
+    hot, after = [(5, 70, 3)] * 10, [(6, 70, 9), (8, 71, 4), (9, 72, 1)]
+    for parts in ([hot + after], [hot, after], [hot, hot, after], [hot, hot + after[:1], after[1:]]):
+        found = [tuple(r.values()) for b in suffixes._candidate_batches(batch(*p) for p in parts) for r in b.to_pylist()]
+        assert found == [(70, 3), (72, 1)]
+
+
 def test_multikey_order():
     import numpy as np
 
