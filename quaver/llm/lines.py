@@ -1,4 +1,14 @@
-"""Near-duplicate lines by MinHash over character shingles. DataFrame functions only."""
+"""Near-duplicate lines by MinHash over character shingles. DataFrame functions only.
+
+1. *Signatures.* Every line gives a MinHash signature of its character shingles; equal lines have equal ones and are one
+   row from here on, without their text.
+2. *Bands.* Lines whose signatures agree in a band are candidates. In each band a line is compared with the band's
+   first line and with the one before it; texts are fetched for lines that share a band only.
+3. *Verification.* A pair is refused by sketches that bound how far two shingle sets differ; what is left is compared by
+   the whole sets. Links that pass are joined by distributed union-find.
+4. *What is left of large bands.* Bands that are then still in several components are compared between components:
+   whole where few lines are left, by a prefix filter, which loses no pair, where many are.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +16,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaver.llm.common import materialize
+from quaver.llm.common import discard, materialize
 from quaver.llm.components import connected_components
 
 #: Characters of a shingle, minima that make a signature, and the Jaccard similarity of duplicates.
 SHINGLE, MINIMA, SIMILAR = 8, 8, 0.8
 #: Each band takes the minima at these places from its own on, round the signature.
 BAND = (0, 1, 4)
-#: Lines of a band that all its others are compared with first.
-HEADS = 3
-#: A table of shingles and counts up to this many rows is broadcast (under 64 MB); beyond, the join is a shuffle.
-BROADCAST_SHINGLES = 1_000_000
+#: Lines of up to so many shingles have so many signatures: the minima of a small set depend on each other.
+SHORT, SIGNATURES = 24, 3
+#: Hashes of a line that are expected to stay candidates for its minima (the larger ones cannot well be least), and
+#: shingles that are looked at to tell whether a line repeats itself.
+KEPT, PROBES = 64, 32
+#: Longs of a sketch.
+SKETCH = 32
+#: Bands of up to this many lines are compared whole by the first round; of those left, these many are by the second.
+SMALL_BAND, WHOLE_BAND = 3, 256
+#: A table of hashes (and counts) up to this many rows is broadcast (under 64 MB); beyond, the join is a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Characters that a blank line consists of.
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def _shingle_starts(units: Column) -> Column:
@@ -24,6 +43,11 @@ def _shingle_starts(units: Column) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.octet_length(units) - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
 
 
+def _shingle_count(units: Column) -> Column:
+    """How many places _shingle_starts() gives."""
+    return F.greatest((F.octet_length(units) / 4 - (SHINGLE - 1)).cast("int"), F.lit(1))
+
+
 def _shingle_hash(units: Column, start: Column) -> Column:
     return F.xxhash64(F.substring(units, start, F.lit(4 * SHINGLE)))
 
@@ -34,30 +58,54 @@ def shingle_hashes(line: Column) -> Column:
     return F.get(F.transform(units, lambda u: F.array_distinct(F.transform(_shingle_starts(u), lambda i: _shingle_hash(u, i)))), F.lit(0))
 
 
+def _limit(units: Column, shingles: Column) -> Column:
+    """Below this stays a hash, behind its leading bits, a candidate for its line's minima: KEPT hashes are expected to.
+
+    Short lines keep all hashes, and so do lines that repeat themselves, as PROBES shingles drawn from all over them show.
+    """
+    room = 1 << (64 - (MINIMA - 1).bit_length())
+    step = F.floor(shingles / PROBES)
+    place = lambda k: k * step + F.pmod(F.xxhash64(k), step)
+    probes = F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda k: F.substring(units, (4 * place(k) + 1).cast("int"), F.lit(4 * SHINGLE)))
+    few = F.when(shingles <= KEPT, True).otherwise(F.size(F.array_distinct(probes)) < PROBES - 2)
+    return F.when(few, F.lit(room)).otherwise((F.lit(float(room) * KEPT) / shingles).cast("long"))
+
+
 def signatures(lines: DataFrame) -> DataFrame:
-    """(h, m0, m1, ...) of lines (h, line): for each of MINIMA anchors the least hash, as to the bits that differ from the anchor's.
+    """(h, family, copies, m0, m1, ...) of lines (h, line): a row for each distinct line and family of hashes.
 
-    Anchors have leading bits of their own, so each minimum is that of a permutation of its own. Shingles are rows that
-    meet in the partition that already holds their line; none is shuffled.
+    The minima are those of MINIMA anchors: the least hash as to the bits that differ from the anchor's. Anchors have
+    leading bits of their own, so each minimum is that of a permutation of its own. Lines of up to SHORT shingles have
+    SIGNATURES families. Of long lines a hash enters if it is small behind its leading bits, as the least ones are (the
+    first shingle always does). Shingles are rows that are aggregated before anything is shuffled; no text is shuffled.
     """
-    units = lines.select("h", F.encode("line", "UTF-32").alias("units"))
-    starts = units.select("h", "units", F.explode(_shingle_starts(F.col("units"))).alias("start"))
-    hashes = starts.select("h", _shingle_hash(F.col("units"), F.col("start")).alias("s"))
+    units = lines.select("h", F.encode("line", "UTF-32").alias("units")).withColumn("shingles", _shingle_count(F.col("units")))
+    units = units.select("h", "units", _limit(F.col("units"), F.col("shingles")).alias("limit"), F.when(F.col("shingles") <= SHORT, SIGNATURES - 1).otherwise(0).alias("last"))
+    units = units.select("h", "units", "limit", F.explode(F.sequence(F.lit(0), "last")).alias("family"))
+    starts = units.select("h", "family", "units", "limit", F.explode(_shingle_starts(F.col("units"))).alias("start"))
+    of = F.xxhash64(F.substring("units", F.col("start"), F.lit(4 * SHINGLE)), "family")
+    hashes = starts.select("h", "family", "limit", (F.col("start") == 1).alias("first"), of.alias("s"))
+    bits = (MINIMA - 1).bit_length()
+    hashes = hashes.where(F.col("first") | (F.shiftrightunsigned(F.shiftleft("s", bits), bits) < F.col("limit")))
     step = (1 << 64) // MINIMA
-    return hashes.groupBy("h").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(i * step - (1 << 63)))).alias(f"m{i}") for i in range(MINIMA)])
+    minima = [F.min(F.col("s").bitwiseXOR(F.lit(i * step - (1 << 63)))).alias(f"m{i}") for i in range(MINIMA)]
+    return hashes.groupBy("h", "family").agg(F.sum(F.col("first").cast("int")).alias("copies"), *minima)
 
 
 def bands() -> Column:
-    """Keys of the MINIMA bands of a signature. Lines that are SIMILAR share one with a probability of 0.97 at least."""
+    """Keys of the MINIMA bands of a signature. Of lines that are SIMILAR, 0.96 or more share one (measured in the tests)."""
     places = [[(i + j) % MINIMA for j in BAND] for i in range(MINIMA)]
-    return F.array(*[F.xxhash64(F.lit(i), *[F.col(f"m{j}") for j in band]) for i, band in enumerate(places)])
+    return F.array(*[F.xxhash64(F.col("family") * MINIMA + i, *[F.col(f"m{j}") for j in band]) for i, band in enumerate(places)])
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc, text_id, line_no, line, h) of every line that is not blank. Lines are set apart by line feeds."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text_id().alias("text_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return rows.where(F.trim("line") != "").select("doc", "text_id", "line_no", "line", F.xxhash64("line").alias("h"))
+    """(h, line) of every line that is not blank. Lines are set apart by line feeds."""
+    rows = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line"))
+    return rows.where(~_blank(F.col("line"))).select(F.xxhash64("line").alias("h"), "line")
+
+
+def _blank(line: Column) -> Column:
+    return (line < "!") & (F.btrim(line, F.lit(BLANK)) == "")
 
 
 def text_id() -> Column:
@@ -65,54 +113,96 @@ def text_id() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def band_mates(lines: DataFrame) -> DataFrame:
-    """(h, line, keys array<struct<key, n>>) of every distinct line of lines (h, line) that shares a band; n lines have the key."""
-    distinct = lines.groupBy("h").agg(F.min("line").alias("line"))
-    keyed = signatures(distinct).select("h", F.explode(bands()).alias("key"))
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 1")
-    return distinct.join(shared.groupBy("h").agg(F.collect_list(F.struct("key", "n")).alias("keys")), "h")  # MINIMA keys at most
+def band_places(lines: DataFrame) -> DataFrame:
+    """(key, h, n, back, head) of every distinct line of lines (h, line) in every band that n > 1 lines share.
+
+    A band's lines are in the order of their copies, the most first: back is the line before, head the first one.
+    """
+    keyed = signatures(lines).select(F.explode(bands()).alias("key"), "h", "copies")
+    band = W.partitionBy("key").orderBy(F.desc("copies"), "h")
+    whole = band.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    found = keyed.select("key", "h", F.count(F.lit(1)).over(whole).alias("n"), F.lag("h").over(band).alias("back"), F.first("h").over(whole).alias("head"))
+    return found.where("n > 1")
 
 
-def star_pairs(mates: DataFrame) -> DataFrame:
-    """(a, b): in an order of each band's own, every line with the band's first HEADS lines and with the one before it.
+def first_pairs(places: DataFrame) -> DataFrame:
+    """(a, b): every line of a band with the band's first and with the one before it.
 
-    These are all pairs of a band of up to HEADS + 2 lines, and a number in proportion to the lines of larger bands.
+    These are all pairs of a SMALL_BAND, and a number in proportion to the lines of larger ones.
     """
-    keyed = mates.select("h", F.explode("keys").alias("band")).select("h", "band.key")
-    order = W.partitionBy("key").orderBy(F.xxhash64("key", "h"), "h")
-    heads = [F.nth_value("h", i + 1).over(order).alias(f"head{i}") for i in range(HEADS)]
-    near = keyed.select("h", F.lag("h").over(order).alias("back"), *heads).where("back is not null")
-    near = near.select("h", F.explode(F.array_distinct(F.array("back", *[f"head{i}" for i in range(HEADS)]))).alias("other")).where("h <> other")
+    near = places.where("back is not null").select("h", F.explode(F.array_distinct(F.array("back", "head"))).alias("other"))
     return near.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
 
 
-def similar_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose whole shingle sets have a Jaccard similarity of SIMILAR or more. lines: h, line."""
-    pairs = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
-    pairs = pairs.join(lines.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
+def texts_of(lines: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(h, line, size, bits) of the lines (h, line) whose h is among the distinct hashes (h).
+
+    bits is a sketch: each shingle sets one of 64 * SKETCH bits, so two sketches differ in no more bits than there are
+    shingles that one line has and the other has not. size is the number of places of shingles.
+    """
+    few = hashes.count() <= BROADCAST_ROWS
+    found = lines.join(F.broadcast(hashes) if few else hashes, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    found = materialize(found, "line-texts")
+    units = found.select("h", F.encode("line", "UTF-32").alias("units"))
+    starts = units.select("h", "units", F.explode(_shingle_starts(F.col("units"))).alias("start"))
+    hashed = starts.select("h", _shingle_hash(F.col("units"), F.col("start")).alias("s"))
+    word, bit = F.shiftrightunsigned("s", 6).bitwiseAND(F.lit(SKETCH - 1)), F.expr("shiftleft(1L, cast(s & 63 as int))")
+    marked = hashed.groupBy("h", word.alias("word")).agg(F.bit_or(bit).alias("bits"), F.count(F.lit(1)).alias("places"))
+    words = [F.coalesce(F.max(F.when(F.col("word") == i, F.col("bits"))), F.lit(0).cast("long")) for i in range(SKETCH)]
+    sketches = marked.groupBy("h").agg(F.sum("places").cast("int").alias("size"), F.array(*words).alias("bits"))
+    whole = materialize(found.join(sketches, "h"), "line-sketches")
+    discard(found)
+    return whole
+
+
+def _may_be_similar(a: str, b: str) -> Column:
+    """Whether sizes and sketches of two lines allow that they are SIMILAR: false only if they are not.
+
+    Sets of a similarity of t differ in at most (1 - t) / (1 + t) of the sum of their sizes.
+    """
+    sizes = F.col(f"size_{a}") + F.col(f"size_{b}")
+    differ = [F.bit_count(F.get(f"bits_{a}", F.lit(i)).bitwiseXOR(F.get(f"bits_{b}", F.lit(i)))) for i in range(SKETCH)]
+    return sum(differ, F.lit(0)) <= F.lit((1 - SIMILAR) / (1 + SIMILAR) + 1e-9) * sizes
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose whole shingle sets have a Jaccard similarity of SIMILAR or more. texts: as texts_of()."""
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(*[F.col(c).alias(side if c == "h" else f"{c}_{side}") for c in ("h", "line", "size", "bits")]), side)
+    pairs = pairs.where(_may_be_similar("a", "b"))
     pairs = pairs.select("a", "b", shingle_hashes(F.col("line_a")).alias("one"), shingle_hashes(F.col("line_b")).alias("two"))
     pairs = pairs.select("a", "b", F.size(F.array_intersect("one", "two")).alias("shared"), (F.size("one") + F.size("two")).alias("both"))
     return pairs.where(F.col("shared") >= SIMILAR * (F.col("both") - F.col("shared"))).select("a", "b")
 
 
-def unsettled(mates: DataFrame, roots: DataFrame) -> DataFrame:
-    """(h, line, root) of the lines of bands that star_pairs() did not compare whole and that hold more than one component."""
-    rooted = mates.join(roots, mates.h == roots.node, "left").select("h", "line", "keys", F.coalesce("root", "h").alias("root"))
-    keyed = rooted.select("h", "root", F.explode("keys").alias("band")).where(f"band.n > {HEADS + 2}").select("h", "root", "band.key")
-    split = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = keyed.join(split, "key").select("h").distinct()
-    return rooted.join(left, "h").select("h", "line", "root")
+def unsettled(places: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, h, root, left) of the lines of bands that first_pairs() did not compare whole and that hold several components.
+
+    left is the number of such lines of the band.
+    """
+    large = places.where(f"n > {SMALL_BAND}").select("key", "h")
+    rooted = large.join(roots, large.h == roots.node, "left").select("key", "h", F.coalesce("root", "h").alias("root"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("left"))
+    return rooted.join(split.where("low <> high").select("key", "left"), "key").select("key", "h", "root", "left")
+
+
+def whole_band_pairs(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components within the bands of up to WHOLE_BAND lines of unsettled(), as sketches allow."""
+    few = left.where(f"left <= {WHOLE_BAND}").join(texts.select("h", "size", "bits"), "h")
+    one, two = (few.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("h", "root", "size", "bits")]) for side in "ab")
+    met = one.join(two, (one.key == two.key) & (F.col("h_a") < F.col("h_b")) & (F.col("root_a") != F.col("root_b")) & _may_be_similar("a", "b"))
+    return met.select(F.col("h_a").alias("a"), F.col("h_b").alias("b")).distinct()
 
 
 def prefix_pairs(lines: DataFrame) -> DataFrame:
-    """(a, b): every pair of lines (h, line, root) of different roots that may be SIMILAR; none that is gets lost.
+    """(a, b): every pair of lines (h, root, line, size, bits) of different roots that may be SIMILAR; none that is gets lost.
 
     With all shingles in one order, the rarest first, two sets of a Jaccard similarity of t share a shingle among the
     first n - ceil(t n) + 1 of each. Only those few are joined, and shingles that one line alone has drop out. At the
-    first shingle shared, the sizes and what is left behind it must allow the overlap that t asks for. Counts are
-    aggregated before they are shuffled; a line's shingles stay in the partition that holds the line. Joins are by
-    shingle, and adaptive execution splits their large partitions. Shingles are told apart by 48 bits of their hash,
-    under 15 bits of their count: a clash gives a candidate more.
+    first shingle shared, the sizes and what is left behind it must allow the overlap that t asks for, and so must the
+    sketches. Counts are aggregated before they are shuffled; a line's shingles stay in the partition that holds the
+    line. Joins are by shingle, and adaptive execution splits their large partitions. Shingles are told apart by 48 bits
+    of their hash, under 15 bits of their count: a clash gives a candidate more.
     """
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as the lines are few bytes but much work
     units = lines.repartition(parts, "h").select("h", "root", F.encode("line", "UTF-32").alias("units"))
@@ -121,81 +211,104 @@ def prefix_pairs(lines: DataFrame) -> DataFrame:
     sets = starts.select("h", "root", hashed.alias("s")).groupBy("h", "root", "s").agg(F.lit(1).alias("one")).select("h", "root", "s")
     common = sets.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     common = materialize(common.select(F.col("s").alias("of"), F.least("n", F.lit((1 << 15) - 1)).alias("n")), "common-shingles")
-    few = common.count() <= BROADCAST_SHINGLES
+    few = common.count() <= BROADCAST_ROWS
     counted = sets.join(F.broadcast(common) if few else common, F.col("s") == F.col("of"), "left")
     placed = F.shiftleft(F.coalesce("n", F.lit(1)), 48).bitwiseOR(F.col("s"))
     ordered = counted.groupBy("h", "root").agg(F.sort_array(F.collect_list(placed)).alias("set"))
     # A hair less than t, so that no rounding shortens a prefix or raises a bound.
     least = SIMILAR - 1e-9
     ordered = ordered.withColumn("least_shared", F.ceil(F.size("set") * F.lit(least)).cast("int"))
-    first = ordered.select("h", "root", F.size("set").alias("size"), F.posexplode(F.expr("slice(set, 1, 1 + size(set) - least_shared)")).alias("at", "s"))
-    first = first.where(F.col("s") >= F.lit(2 << 48))
-    one = first.select("s", *[F.col(c).alias(f"{c}_a") for c in ("h", "root", "size", "at")])
-    two = first.select("s", *[F.col(c).alias(f"{c}_b") for c in ("h", "root", "size", "at")])
-    met = one.join(two, "s").where("h_a < h_b and root_a <> root_b")
-    most = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-    met = met.where(most >= F.lit(least / (1 + least)) * (F.col("size_a") + F.col("size_b")))
-    return met.select(F.col("h_a").alias("a"), F.col("h_b").alias("b")).distinct()
+    first = ordered.select("h", "root", F.size("set").alias("own"), F.posexplode(F.expr("slice(set, 1, 1 + size(set) - least_shared)")).alias("at", "s"))
+    first = first.where(F.col("s") >= F.lit(2 << 48)).join(lines.select("h", "size", "bits"), "h")
+    first = materialize(first, "line-prefixes")
+    one, two = (first.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("h", "root", "own", "at", "size", "bits")]) for side in "ab")
+    most = F.least(F.col("own_a") - F.col("at_a"), F.col("own_b") - F.col("at_b"))
+    fits = most >= F.lit(least / (1 + least)) * (F.col("own_a") + F.col("own_b"))
+    met = one.join(two, (one.s == two.s) & (F.col("h_a") < F.col("h_b")) & (F.col("root_a") != F.col("root_b")) & fits & _may_be_similar("a", "b"))
+    met = materialize(met.select(F.col("h_a").alias("a"), F.col("h_b").alias("b")).distinct(), "line-prefix-pairs")
+    discard(first)
+    discard(common)
+    return met
+
+
+def late_pairs(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components of unsettled() that may be SIMILAR. None that is, of one band, is lost."""
+    many = left.where(f"left > {WHOLE_BAND}").groupBy("h").agg(F.min("root").alias("root"))
+    return whole_band_pairs(left, texts).union(prefix_pairs(many.join(texts, "h"))).distinct()
 
 
 def similar_links(lines: DataFrame) -> DataFrame:
     """(a, b) hashes of lines (h, line): links between the same lines, over steps, as the pairs that are SIMILAR make.
 
-    Candidates share a band. Small bands are compared whole. In larger ones each line is compared with a few others
-    first, which joins most of what is alike in work that grows with the lines. Lines of bands that are then still in
-    several components are compared by prefix_pairs(), which loses no pair between components.
+    Candidates share a band. Small bands are compared whole. In larger ones each line is compared with two others first,
+    which joins most of what is alike in work that grows with the lines; pairs between the components that a band is
+    then left with are all compared, by late_pairs().
+    """
+    places = materialize(band_places(lines), "line-bands")
+    texts = texts_of(lines, places.select("h").distinct())
+    roots = materialize(connected_components(similar_pairs(first_pairs(places), texts)), "line-roots")
+    left = materialize(unsettled(places, roots), "lines-unsettled")
+    late = similar_pairs(late_pairs(left, texts), texts)
+    links = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late), "line-links")
+    for done in (places, texts, roots, left):
+        discard(done)
+    return links
+
+
+def line_hashes(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, text_id, hashes) of every row of docs: the hash of each line, null for blank ones.
+
+    doc is a struct that orders documents by id, those without one last.
     """
-    mates = materialize(band_mates(lines), "line-mates")
-    roots = materialize(connected_components(similar_pairs(star_pairs(mates), mates)), "line-roots")
-    left = materialize(unsettled(mates, roots), "lines-unsettled")
-    late = similar_pairs(prefix_pairs(left), left)
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    id_ = F.col("doc_id").cast("long")
+    hashes = F.transform(F.split(text, "\n"), lambda x: F.when(~_blank(x), F.xxhash64(x)))
+    return docs.select(id_.alias("doc_id"), F.struct(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0).cast("long")).alias("id")).alias("doc"), text_id().alias("text_id"), hashes.alias("hashes"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines (sorted numbers from 0) of every row of docs (doc_id, text).
 
     Lines that are equal or SIMILAR, over steps as well, are one component; the line that stays is the component's first
-    by doc_id and line number. Blank lines are no lines here and always stay. Null texts have no lines; null doc_ids come
-    after all others. Different texts under one id, or under none, are documents of their own, in the order of their
-    hashes; rows with equal ids and texts are one document, and each is returned. An empty table gives an empty result;
-    other columns are ignored. Lines, and texts of one id, are told apart by a 64-bit hash.
+    by doc_id and line number. Lines of white space only are no lines here and always stay. Null texts have no lines;
+    null doc_ids come after all others. Different texts under one id, or under none, are documents of their own, in the
+    order of their hashes; rows with equal ids and texts are one document, and each is returned. An empty table gives an
+    empty result; other columns are ignored. Lines, and texts of one id, are told apart by a 64-bit hash.
     """
-    return _removed(docs).drop("of_text")
+    return _removed(docs).drop("text_id")
 
 
 def _removed(docs: DataFrame) -> DataFrame:
-    """Rows of repeated_lines(), with of_text: the text_id() of each."""
-    last = F.lit((1 << 63) - 1)
-    lines = lines_of(docs).withColumn("doc", F.coalesce("doc", last))
-    roots = connected_components(similar_links(lines.select("h", "line")))
-    places = lines.select("h", "doc", "text_id", "line_no")
-    classes = places.groupBy("h").agg(F.min(F.struct("doc", "text_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    classes = classes.join(roots, classes.h == roots.node, "left").select("h", "first", "n", F.coalesce("root", "h").alias("root"))
-    classes = materialize(classes, "line-classes")
-    groups = classes.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")
-    stays = classes.join(groups, "root").select(F.col("h").alias("of"), "keep")
-    gone = places.join(stays, places.h == stays.of).where("struct(doc, text_id, line_no) <> keep")
-    gone = gone.groupBy("doc", "text_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("of_text"), F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).cast("long").alias("n_lines"))
-    sizes = sizes.withColumn("id", F.coalesce("doc_id", last))
-    found = sizes.join(gone, (sizes.id == gone.doc) & (sizes.of_text == gone.text_id), "left")
+    """Rows of repeated_lines(), with the text_id() of each."""
+    links = similar_links(lines_of(docs))
+    roots = materialize(connected_components(links), "line-classes")
+    discard(links)
+    rows = materialize(line_hashes(docs), "line-hashes")
+    places = rows.select("doc", "text_id", F.posexplode("hashes").alias("line_no", "h")).where("h is not null")
+    more = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    named = more.join(roots, more.h == roots.node, "full").select(F.coalesce("h", "node").alias("h"), F.coalesce("root", "h").alias("root"))
+    hits = materialize(places.join(named, "h").select("root", F.struct("doc", "text_id", "line_no").alias("place")), "line-hits")
+    keep = hits.groupBy("root").agg(F.min("place").alias("keep"))
+    gone = hits.join(keep, "root").where("place <> keep").select("place.*")
+    gone = materialize(gone.groupBy("doc", "text_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines")), "lines-gone")
+    discard(hits)
+    discard(roots)
+    lines = F.size(F.filter("hashes", lambda h: h.isNotNull())).cast("long")
+    found = rows.select("doc_id", "doc", "text_id", lines.alias("n_lines")).join(gone, ["doc", "text_id"], "left")
     removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
-    return found.select("doc_id", "of_text", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+    return found.select("doc_id", "text_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines that repeated_lines() names cut from column text; all rows and columns stay."""
-    last = F.lit((1 << 63) - 1)
-    found = _removed(docs).where("n_removed > 0").select(F.coalesce("doc_id", last).alias("gone_from"), F.col("of_text").alias("gone_text"), "removed_lines")
+    found = _removed(docs).where("n_removed > 0").select(F.col("doc_id").alias("gone_from"), F.col("text_id").alias("gone_text"), "removed_lines")
     found = found.dropDuplicates(["gone_from", "gone_text"])
     names = docs.columns
     kept = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("kept")
-    rows = docs.select(kept, F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), text_id().alias("of_text"))
+    rows = docs.select(kept, F.col("doc_id").cast("long").alias("id"), text_id().alias("of_text"))
     text = F.col(f"kept.c{names.index('text')}")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
-    rows = rows.join(found, (F.col("id") == F.col("gone_from")) & (F.col("of_text") == F.col("gone_text")), "left")
+    rows = rows.join(found, F.col("id").eqNullSafe(F.col("gone_from")) & (F.col("of_text") == F.col("gone_text")), "left")
     return rows.select(*[(F.when(F.col("removed_lines").isNull(), text).otherwise(left) if c == "text" else F.col(f"kept.c{i}")).alias(c) for i, c in enumerate(names)])
 
 
