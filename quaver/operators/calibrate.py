@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaver.operators import gate
+
 # Agreement of a correct read, and the grid's allowed shares of bad measures.
 GOOD = 0.85
 ALLOWED_BAD = (0.0, 0.25, 0.5, 0.75, 1.01)
@@ -33,12 +35,55 @@ def scored(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("agreement", agreement(F.col("truth"), F.col("read"))).withColumn("should_accept", F.col("agreement") >= GOOD)
 
 
+def graded(rows: DataFrame) -> DataFrame:
+    """(piece, quality, mean_ctx, bad_frac, should_accept) of the rows of a dataset that can calibrate: read, with grades.
+
+    rows: as sources.files.dataset(). Reads without output, without features or without a mean grade stay out.
+    """
+    kept = rows.where("audiveris_ok and features is not null and features.mean_ctx is not null")
+    return kept.select("piece", "quality", F.col("features.mean_ctx").alias("mean_ctx"), F.col("features.measures_bad_frac").alias("bad_frac"), F.coalesce("should_accept", F.lit(False)).alias("should_accept"))
+
+
+def features(reads: DataFrame) -> DataFrame:
+    """reads (tokens, bad, total, head_count, mean_ctx, min_ctx, weak) with ``features``, the struct that a dataset holds.
+
+    Shares are rounded to 3 digits; what needs grades is null without them.
+    """
+    counted = gate.leap_counts(gate.midi_array(F.col("tokens")))
+    wild = F.when(F.col("_leaps.leaps") > 0, F.col("_leaps.wide") / F.col("_leaps.leaps")).otherwise(0.0)
+    has = F.coalesce(F.col("head_count") > 0, F.lit(False))
+    total = F.coalesce("total", F.lit(0))
+    made = F.struct(
+        F.size("tokens").alias("note_count"), gate.rounded(wild).alias("wild_frac"),
+        F.when(total > 0, gate.rounded(F.try_divide(F.col("bad"), total))).otherwise(0.0).alias("measures_bad_frac"), total.cast("int").alias("measures_total"),
+        F.when(has, F.col("mean_ctx")).alias("mean_ctx"), F.when(has, F.col("min_ctx")).alias("min_ctx"), F.when(has, F.col("head_count").cast("int")).alias("head_count"),
+        F.when(has, gate.rounded(F.try_divide(F.col("weak"), F.col("head_count")))).alias("weak_frac"),
+    )
+    return reads.withColumn("_leaps", counted).withColumn("features", made).drop("_leaps")
+
+
+def collected(manifest: DataFrame, reads: DataFrame) -> DataFrame:
+    """The dataset of a manifest (image, piece, quality, gt_tokens, gt_midi) and reads of its images, one row an image.
+
+    reads: image, tokens (null or no row: no output), what features() needs, and note, the reader's error. Rows are as
+    sources.files.dataset() reads them; should_accept is judged before the agreement is rounded.
+    """
+    made = features(reads).select(F.col("image").alias("of"), "tokens", "features", F.col("note").alias("told"))
+    rows = manifest.join(made, F.col("image") == F.col("of"), "left")
+    ok, found = F.col("tokens").isNotNull(), agreement(F.col("gt_midi"), gate.midi_array(F.col("tokens")))
+    return rows.select(
+        "image", "piece", "quality", F.col("gt_tokens").alias("gt"), ok.alias("audiveris_ok"), F.coalesce("tokens", F.array().cast("array<string>")).alias("notes"),
+        F.when(ok, gate.rounded(found)).otherwise(0.0).alias("agreement"), F.when(ok, found >= GOOD).otherwise(False).alias("should_accept"),
+        F.when(ok, F.col("features")).alias("features"), F.when(~ok, F.substring(F.coalesce("told", F.lit("")), 1, 80)).alias("note"),
+    )
+
+
 def grid(reads: DataFrame) -> DataFrame:
     """(t_idx, t, m_idx, m): thresholds just under each distinct mean_ctx (rounded to 3), 0 and 1.01, by ALLOWED_BAD.
 
     Distinct values of a number rounded to 3 digits in 0..1 are 1001 at most, so the grid has 5015 rows at most.
     """
-    values = reads.select(F.bround("mean_ctx", 3).alias("v")).distinct().orderBy("v").agg(F.sort_array(F.collect_set("v")).alias("vs"))
+    values = reads.select(F.bround("mean_ctx", 3).alias("v")).distinct().agg(F.sort_array(F.collect_set("v")).alias("vs"))
     ts = F.concat(F.array(F.lit(0.0)), F.transform("vs", lambda v: v - 0.001), F.array(F.lit(1.01)))
     ms = F.array(*[F.lit(m) for m in ALLOWED_BAD])
     rows = values.select(F.posexplode(ts).alias("t_idx", "t"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quaver.functions.pitch import CLEFS, LETTERS
 from quaver.operators import signal as S
@@ -20,8 +21,13 @@ APART_X, APART_Y = 0.70, 0.80
 CLEF_TALL, CLEF_WIDE, CLEF_REACH, CLEF_MARGIN = 3.5, 2.0, 12.0, 0.3
 HEADER_INK, HEADER_GAP, HEADER_REACH, HEADER_TAIL, BAND_PAD = 0.06, 1.20, 16.0, 0.4, 1.2
 STEM, STEM_NEAR, STEM_FAR, STEM_REACH = 1.6, 0.30, 0.85, 2.6
+WITH_STEM, WITHOUT_STEM = 0.85, 0.70
+# What is told of a page.
 BLANK = "Image appears blank after thresholding (no ink detected)."
 NO_STAFF = "No staff systems detected. The image may not contain printed five-line staves, or the contrast/resolution is too low."
+NO_HEADS = "Found {} staff system(s) but no noteheads. The notation may be too faint, handwritten, or low resolution."
+DETECTED = "Detected {} note(s) across {} staff system(s)."
+LONELY = "isolated high mark (tempo?)"
 
 
 def _int(x: float) -> int:
@@ -39,20 +45,30 @@ def decode_pgm(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8, count=w * h, offset=head.end()).reshape(h, w)
 
 
+#: Half width of the resampling kernel, in pixels of the smaller image.
+LOBES = 3
+
+
+def _resampled(rows: np.ndarray, to: int) -> np.ndarray:
+    """The last axis scaled up to a length by a windowed sinc; weights are normalised where the edge cuts them."""
+    n = rows.shape[-1]
+    centre = (np.arange(to) + 0.5) * n / to - 0.5
+    taps = np.floor(centre).astype(int)[:, None] + np.arange(1 - LOBES, LOBES + 1)
+    away = taps - centre[:, None]
+    weight = np.where((np.abs(away) < LOBES) & (taps >= 0) & (taps < n), np.sinc(away) * np.sinc(away / LOBES), 0.0)
+    weight /= weight.sum(axis=1, keepdims=True)
+    taps = taps.clip(0, n - 1)
+    out = sum(rows[..., taps[:, k]] * weight[:, k] for k in range(2 * LOBES))
+    return out.round().clip(0, 255)
+
+
 def enlarged(gray: np.ndarray, width: int = TARGET_WIDTH) -> np.ndarray:
-    """The raster, scaled up to the width with linear interpolation if it is narrower."""
+    """The raster, scaled up to the width (both sides alike) if it is narrower: along rows, then along columns."""
     h, w = gray.shape
-    if w >= width:
+    if w >= width or not h or not w:
         return gray
-    to = int(h * width / w), int(w * width / w)
-    y, x = ((np.arange(n) + 0.5) * m / n - 0.5 for n, m in zip(to, (h, w), strict=True))
-    y, x = y.clip(0, h - 1), x.clip(0, w - 1)
-    y0, x0 = y.astype(int), x.astype(int)
-    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
-    fy, fx = (y - y0)[:, None], (x - x0)[None]
-    g = gray.astype(float)
-    top, low = g[y0][:, x0] * (1 - fx) + g[y0][:, x1] * fx, g[y1][:, x0] * (1 - fx) + g[y1][:, x1] * fx
-    return (top * (1 - fy) + low * fy).round().astype(np.uint8)
+    wide = _resampled(gray.astype(np.float32), width)
+    return _resampled(wide.T, int(h * width / w)).T.astype(np.uint8)
 
 
 def sums(raster: np.ndarray) -> np.ndarray:
@@ -103,49 +119,43 @@ def opened(ink: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def labelled(mask: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """Connected parts (by sides), each as its runs (y, first, past the end)."""
-    parent: list[int] = []
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    runs, above = [], []
-    for y in range(mask.shape[0]):
-        row = []
-        for a, b in zip(*_runs(mask[y]), strict=True):
-            me = len(runs)
-            runs.append((y, int(a), int(b)))
-            parent.append(me)
-            row.append(me)
-        i = j = 0
-        while i < len(above) and j < len(row):
-            (_, a, b), (_, c, d) = runs[above[i]], runs[row[j]]
-            if a < d and c < b:
-                parent[find(row[j])] = find(above[i])
-            if b <= d:
-                i += 1
-            else:
-                j += 1
-        above = row
-    parts: dict[int, list] = {}
-    for i, r in enumerate(runs):
-        parts.setdefault(find(i), []).append(r)
-    return list(parts.values())
+def labelled(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of the mask, (row, first, past the end), with the number of the connected part (by sides) each is in.
+
+    Runs of neighbouring rows touch where their columns overlap, which sorted ends tell for all at once. Parts grow by
+    taking the smallest number among those that touch, with pointers halved in between.
+    """
+    h, w = mask.shape
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edge == 1)
+    past = np.nonzero(edge == -1)[1]
+    starts, ends = row * (w + 1) + first, row * (w + 1) + past
+    low = np.searchsorted(ends, starts + w + 1, "right")
+    count = np.maximum(np.searchsorted(starts, ends + w + 1, "left") - low, 0)
+    one = np.repeat(np.arange(len(row)), count)
+    two = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+    part = np.arange(len(row))
+    while True:
+        a, b = part[one], part[two]
+        apart = a != b
+        if not apart.any():
+            return row, first, past, part
+        np.minimum.at(part, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (part[part] != part).any():
+            part = part[part]
 
 
 def filled(ink: np.ndarray) -> np.ndarray:
     """Ink with its holes: background that does not reach the border."""
     h, w = ink.shape
-    out = ink.copy()
-    for part in labelled(~ink):
-        if not any(y in (0, h - 1) or a == 0 or b == w for y, a, b in part):
-            for y, a, b in part:
-                out[y, a:b] = True
-    return out
+    row, first, past, part = labelled(~ink)
+    outside = np.zeros(len(row), dtype=bool)
+    outside[part[(row == 0) | (row == h - 1) | (first == 0) | (past == w)]] = True
+    hole = ~outside[part]
+    change = np.zeros((h, w + 1), dtype=np.int8)
+    change[row[hole], first[hole]] = 1
+    change[row[hole], past[hole]] -= 1
+    return ink | (np.cumsum(change, axis=1, dtype=np.int8)[:, :w] > 0)
 
 
 def grouped(values: np.ndarray, gap: int = S.ISLAND_GAP) -> list[np.ndarray]:
@@ -263,12 +273,15 @@ class Page:
         s, h, w = self.s, *self.ink.shape
         left, right = _int(x_start), min(w, _int(x_start + CLEF_REACH * s))
         region = self.ink[max(0, _int(lines[0] - 2 * s)) : min(h, _int(lines[-1] + 2 * s)), left:right]
-        ends = [x_start]
-        for part in labelled(region) if region.size else []:
-            y, a, b = zip(*part, strict=True)
-            if max(y) - min(y) + 1 >= CLEF_TALL * s and max(b) - min(a) >= CLEF_WIDE * s:
-                ends.append(left + max(b) + CLEF_MARGIN * s)
-        return max(ends)
+        if not region.size:
+            return x_start
+        row, first, past, part = labelled(region)
+        most = [np.full(len(row), -1) for _ in range(4)]  # of each part: lowest row, highest one, right side, left one
+        for at, value in zip(most, (row, h - row, past, w - first), strict=True):
+            np.maximum.at(at, part, value)
+        tall, wide = most[0] + most[1] - h + 1, most[2] + most[3] - w
+        marks = most[2][(most[2] >= 0) & (tall >= CLEF_TALL * s) & (wide >= CLEF_WIDE * s)]
+        return max([x_start, *(left + marks + CLEF_MARGIN * s)])
 
     def content_start(self, lines: list[float], x_start: float) -> float:
         """Past clef, key and time: the first ink after the first wide gap, or a little past the last ink."""
@@ -297,54 +310,58 @@ def find_barlines(ink: np.ndarray, lines: list[float], spacing: float, x_start:
     return [float(x) for x in middles if x_start <= x <= x_end]
 
 
-def staff_marks(page: Page, lines: list[float], left: float, x_end: float) -> tuple[list[dict], list[dict]]:
-    """Accepted noteheads of a staff by x, and rejected marks."""
+def strongest(x: np.ndarray, y: np.ndarray, fill: np.ndarray, dx: float, dy: float) -> np.ndarray:
+    """Indices of the marks that no stronger one kept is near, strongest first; equal ones in their order."""
+    left, kept = np.argsort(-fill, kind="stable"), []
+    while len(left):
+        i = left[0]
+        kept.append(i)
+        left = left[(np.abs(x[left] - x[i]) >= dx) | (np.abs(y[left] - y[i]) >= dy)]
+    return np.array(kept, dtype=int)
+
+
+def staff_marks(page: Page, lines: list[float], left: float, x_end: float) -> pd.DataFrame:
+    """Marks of a staff (x, y, step, fill, stem, score, reason) by x: accepted noteheads have no reason.
+
+    All places of the candidate grid are measured at once; of those that are dark the strongest stay, and the rules of
+    the signal operators judge them. Of the weak ones that fail only those that are worth a report are returned.
+    """
     s = page.s
     half_h, half_w = max(2, _int(HEAD_H * s / 2)), max(3, _int(HEAD_W * s / 2))
-    core_h, core_w = max(1, _int(CORE_H * s)), max(1, _int(CORE_W * s))
-    xs = np.arange(_int(left), _int(x_end) + 1, max(1, half_w // 2))
-    found = []
-    for step in range(S.SCAN_STEPS[0], S.SCAN_STEPS[1] + 1):
-        y = lines[-1] - step * s / 2
-        if 0 <= _int(y) < page.ink.shape[0] and len(xs):
-            fill = page.fill(np.full(len(xs), _int(y)), xs, half_h, half_w)
-            found += [{"x": float(x), "y": y, "step": step, "fill": float(f)} for x, f in zip(xs, fill, strict=True) if f >= S.SCAN_FILL]
-    kept: list[dict] = []
-    for m in sorted(found, key=lambda m: -m["fill"]):  # equal fills stay in scan order
-        if not any(abs(m["x"] - k["x"]) < APART_X * s and abs(m["y"] - k["y"]) < APART_Y * s for k in kept):
-            kept.append(m)
-    heads, rejected = [], []
-    for m in kept:
-        x, y = _int(m["x"]), _int(m["y"])
-        core, wide, tall = float(page.fill(y, x, core_h, core_w)), page.wide(x, y), page.tall(x, y)
-        reason = ""
-        if wide > S.WIDEST * s:
-            reason = "wide bar/beam"
-        elif wide < S.NARROWEST * s:
-            reason = "thin stroke (stem/accidental)"
-        elif tall < S.LOWEST * s:
-            reason = "thin bar (beam)"
-        elif not (core >= S.CORE_MIN and S.FILL_RANGE[0] <= m["fill"] <= S.FILL_RANGE[1]):
-            reason = "weak/ambiguous fill (not a solid head)"
-        if not reason:
-            stem = page.stem(x, y)
-            heads.append(m | {"stem": stem, "score": 0.85 if stem else 0.70, "kind": "solid"})
-        elif m["fill"] >= S.LOG_FILL:
-            rejected.append({"x": m["x"], "y": m["y"], "reason": reason})
-    notes = []
-    for m in heads:
-        near = [o for o in heads if o is not m and abs(o["x"] - m["x"]) <= S.LONELY_SPACES * s and abs(o["step"] - m["step"]) <= S.LONELY_STEPS]
-        if m["step"] >= S.HIGH_STEP and not near:
-            rejected.append({"x": m["x"], "y": m["y"], "reason": "isolated high mark (tempo?)"})
-        else:
-            notes.append(m)
-    return sorted(notes, key=lambda m: m["x"]), rejected
+    across = np.arange(_int(left), _int(x_end) + 1, max(1, half_w // 2))
+    steps = np.arange(S.SCAN_STEPS[0], S.SCAN_STEPS[1] + 1)
+    step, x = (g.ravel() for g in np.meshgrid(steps, across, indexing="ij"))
+    y = lines[-1] - step * s / 2
+    at = np.array([_int(v) for v in y], dtype=int)
+    fill = page.fill(at, x, half_h, half_w)
+    dark = (at >= 0) & (at < page.ink.shape[0]) & (fill >= S.SCAN_FILL)
+    m = pd.DataFrame({"x": x.astype(float), "y": y, "step": step, "fill": fill, "at": at})[dark].reset_index(drop=True)
+    m = m.iloc[strongest(m["x"].to_numpy(), m["y"].to_numpy(), m["fill"].to_numpy(), APART_X * s, APART_Y * s)].reset_index(drop=True)
+    places = list(zip(m["x"].astype(int), m["at"], strict=True))
+    core = page.fill(m["at"], m["x"].astype(int), max(1, _int(CORE_H * s)), max(1, _int(CORE_W * s)))
+    wide, tall = (np.array([f(*p) for p in places], dtype=float) / s for f in (page.wide, page.tall))
+    rules = S.not_solid(core, wide, tall, m["fill"].to_numpy())
+    m["reason"] = np.select([found for _, found in rules], [name for name, _ in rules], "").astype(object)
+    m["stem"] = [r == "" and page.stem(*p) for r, p in zip(m["reason"], places, strict=True)]
+    heads = m[m["reason"] == ""]
+    near_x = np.abs(heads["x"].to_numpy()[:, None] - heads["x"].to_numpy()) <= S.LONELY_SPACES * s
+    near_step = np.abs(heads["step"].to_numpy()[:, None] - heads["step"].to_numpy()) <= S.LONELY_STEPS
+    alone = (near_x & near_step).sum(axis=1) == 1  # each is near itself
+    m.loc[heads.index[alone & (heads["step"].to_numpy() >= S.HIGH_STEP)], "reason"] = LONELY
+    m["score"] = np.where(m["reason"] != "", 0.0, np.where(m["stem"], WITH_STEM, WITHOUT_STEM))
+    told = (m["reason"] == "") | (m["reason"] == LONELY) | (m["fill"] >= S.LOG_FILL)
+    return m[told].sort_values("x", kind="stable").drop(columns="at")
+
+
+def _nothing(reason: str) -> dict:
+    lists = {name: [] for name in ("notes", "barlines", "content_start", "accepted", "rejected")}
+    return {"success": False, "reason": reason, "staff_count": 0, "note_count": 0, "spacing": 0.0} | lists
 
 
 def read_page(gray: np.ndarray, clef: str = "treble") -> dict:
     """Notes of a page: success, reason, notes, staff_count, note_count, spacing, and details. Unknown clefs are treble."""
     bottom = 7 * CLEFS.get(clef, CLEFS["treble"])[3] + LETTERS.index(CLEFS.get(clef, CLEFS["treble"])[2])
-    out = {"success": False, "reason": BLANK, "notes": [], "staff_count": 0, "note_count": 0, "spacing": 0.0, "barlines": [], "content_start": [], "rejected_count": 0}
+    out = _nothing(BLANK)
     ink = binarized(gray)
     if not ink.any():
         return out
@@ -355,28 +372,33 @@ def read_page(gray: np.ndarray, clef: str = "treble") -> dict:
     page = Page(filled(without_lines(ink, staves, spacing)), spacing)
     for lines in staves:
         left = max(page.content_start(lines, x_start), page.header_end(lines, x_start), x_start)
-        notes, rejected = staff_marks(page, lines, left, x_end)
-        out["notes"] += [f"{LETTERS[(bottom + m['step']) % 7]}{(bottom + m['step']) // 7}" for m in notes]
+        marks = staff_marks(page, lines, left, x_end)
+        marks["token"] = [f"{LETTERS[(bottom + k) % 7]}{(bottom + k) // 7}" for k in marks["step"]]
+        notes, rejected = (marks[(marks["reason"] == "") == accepted] for accepted in (True, False))
+        out["notes"] += notes["token"].tolist()
+        out["accepted"] += notes[["token", "x", "y", "score", "stem"]].to_dict("records")
+        out["rejected"] += rejected[["x", "y", "reason"]].to_dict("records")
         out["barlines"].append(find_barlines(ink, lines, spacing, x_start, x_end))
         out["content_start"].append(float(left))
-        out["rejected_count"] += len(rejected)
     n = len(out["notes"])
     if not n:
-        reason = f"Found {len(staves)} staff system(s) but no noteheads. The notation may be too faint, handwritten, or low resolution."
-        return out | {"reason": reason}
-    return out | {"success": True, "note_count": n, "reason": f"Detected {n} note(s) across {len(staves)} staff system(s)."}
+        return out | {"reason": NO_HEADS.format(len(staves))}
+    return out | {"success": True, "note_count": n, "reason": DETECTED.format(n, len(staves))}
 
 
-RESULT = (
-    "image_id long, success boolean, reason string, notes array<string>, staff_count int, note_count int, spacing double, "
-    "barlines array<array<double>>, content_start array<double>, rejected_count int"
-)
+RESULT = {
+    "image_id": "long", "success": "boolean", "reason": "string", "notes": "array<string>", "staff_count": "int", "note_count": "int", "spacing": "double",
+    "barlines": "array<array<double>>", "content_start": "array<double>",
+    "accepted": "array<struct<token:string,x:double,y:double,score:double,stem:boolean>>", "rejected": "array<struct<x:double,y:double,reason:string>>",
+}
 
 
 def pages_read(rasters: DataFrame) -> DataFrame:
     """read_page() of rasters (image_id, height, width, data, clef), one image at a time; no shuffle.
 
-    A raster whose bytes do not fill its shape is told as unreadable.
+    Images narrower than TARGET_WIDTH are enlarged first, and positions are those of the enlarged image. A raster whose
+    bytes do not fill its shape is told as unreadable. Each image is much work: deal them before, if they are in few
+    partitions.
     """
 
     def run(frames):
@@ -385,10 +407,20 @@ def pages_read(rasters: DataFrame) -> DataFrame:
             for r in f.itertuples():
                 try:
                     gray = np.frombuffer(r.data, dtype=np.uint8).reshape(int(r.height), int(r.width))
-                    found = read_page(enlarged(gray, 0), r.clef)
+                    found = read_page(enlarged(gray), r.clef)
                 except (ValueError, TypeError) as e:
-                    found = {"success": False, "reason": f"Could not open image: {e}", "notes": [], "staff_count": 0, "note_count": 0, "spacing": 0.0, "barlines": [], "content_start": [], "rejected_count": 0}
+                    found = _nothing(f"Could not open image: {e}")
                 rows.append({"image_id": r.image_id} | found)
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in RESULT.split(", ")])
+            yield pd.DataFrame(rows, columns=list(RESULT))
+
+    return rasters.select("image_id", "height", "width", "data", "clef").mapInPandas(run, ", ".join(f"{k} {v}" for k, v in RESULT.items()))
+
+
+def rejected_marks(pages: DataFrame) -> DataFrame:
+    """(image_id, x, y, reason): the marks of pages_read() that were looked at and left out."""
+    return pages.select("image_id", F.explode("rejected").alias("m")).select("image_id", "m.*")
+
 
-    return rasters.select("image_id", "height", "width", "data", "clef").mapInPandas(run, RESULT)
+def report(pages: DataFrame) -> DataFrame:
+    """(image_id, report): the detection report of each page of pages_read() as JSON."""
+    return pages.select("image_id", F.to_json(F.struct(*[c for c in RESULT if c != "image_id"]), {"ignoreNullFields": "false"}).alias("report"))

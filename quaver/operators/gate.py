@@ -27,9 +27,12 @@ def midi_array(tokens: Column) -> Column:
 
 def leap_counts(midis: Column) -> Column:
     """struct<leaps, wide> of an array of MIDI numbers, nulls left out: no shuffle where a read is a row."""
-    valid = F.array_compact(midis)
-    pairs = F.transform(F.slice(valid, 2, F.greatest(F.size(valid) - 1, F.lit(0))), lambda x, i: F.abs(x - F.get(valid, i)))
-    return F.struct(F.size(pairs).alias("leaps"), F.size(F.filter(pairs, lambda d: d > WIDE_LEAP)).alias("wide"))
+    def counted(valid: Column) -> Column:
+        steps = F.transform(F.slice(valid, 2, F.greatest(F.size(valid) - 1, F.lit(0))), lambda x, i: F.abs(x - F.get(valid, i)))
+        return F.struct(F.size(steps).alias("leaps"), F.size(F.filter(steps, lambda d: d > WIDE_LEAP)).alias("wide"))
+
+    # Bound once as the one element of an array: inlined, the notes would be made anew for each step.
+    return F.get(F.transform(F.array(F.array_compact(midis)), counted), F.lit(0))
 
 
 def grade_summary(heads: DataFrame, key: str = "read_id") -> DataFrame:
@@ -91,7 +94,7 @@ def assessed(reads: DataFrame, ctx_mean_min: Column | None = None, measure_bad_f
     graded = F.coalesce(F.col("head_count") > 0, F.lit(False))
     sums = ~((F.col("_total") >= 2) & (F.coalesce(F.try_divide(F.col("_bad"), F.col("_total")), F.lit(0.0)) > most))
     graded_detail = F.concat(
-        F.lit("mean ctx-grade "), F.format_string("%.2f", "mean_ctx"), F.lit(" (min "), F.format_string("%.2f", "min_ctx"), F.lit("), "),
+        F.lit("mean ctx-grade "), F.format_number("mean_ctx", 2), F.lit(" (min "), F.format_number("min_ctx", 2), F.lit("), "),
         _percent(weak), F.lit(f" below {WEAK_HEAD}; need mean ≥"), _plain(least),
     )
 

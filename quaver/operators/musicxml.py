@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from quaver.functions import pitch as P
 
-SCHEMA = (
-    "part array<struct<measure:array<struct<"
-    "attributes:array<struct<divisions:string,key:array<struct<fifths:string>>,time:array<struct<beats:string,`beat-type`:string>>>>,"
-    "note:array<struct<pitch:struct<step:string,alter:string,octave:string>,rest:string,chord:string,duration:string>>>>>>"
-)
+_ATTRIBUTES = "array<struct<divisions:string,key:array<struct<fifths:string>>,time:array<struct<beats:string,`beat-type`:string>>>>"
+_NOTES = "array<struct<pitch:struct<step:string,alter:string,octave:string>,rest:string,chord:string,duration:string>>"
+_MEASURES = f"array<struct<attributes:{_ATTRIBUTES},note:{_NOTES}>>"
+_PARTS = f"array<struct<measure:{_MEASURES}>>"
+SCHEMA = f"part {_PARTS}"
 
 
 def parsed(reads: DataFrame) -> DataFrame:
@@ -30,18 +30,24 @@ def tokens(reads: DataFrame) -> DataFrame:
 
     The step must be one letter; an alteration that is no number is 0, others are cut toward zero.
     """
-    rows = _measures(reads).select("read_id", "p", "m", F.posexplode("measure.note").alias("n", "note"))
-    step, octave = F.upper(P.trimmed(F.col("note.pitch.step"))), P.trimmed(F.col("note.pitch.octave"))
-    alter = F.coalesce(P.trimmed(F.col("note.pitch.alter")).try_cast("double"), F.lit(0.0)).try_cast("int")
-    rows = rows.where("note.rest is null and note.chord is null and note.pitch is not null")
-    rows = rows.where(step.rlike("^[A-G]$") & octave.rlike("^-*[0-9]+$"))
-    order = W.partitionBy("read_id").orderBy("p", "m", "n")
-    return rows.select("read_id", (F.row_number().over(order) - 1).alias("seq"), F.concat(step, P.alter_suffix(alter), octave).alias("token"))
+    notes = F.flatten(F.transform(_filled(F.col("part"), _PARTS), lambda p: F.flatten(F.transform(_filled(p["measure"], _MEASURES), lambda m: _filled(m["note"], _NOTES)))))
+
+    def parts(note):
+        step, octave = F.upper(P.trimmed(note["pitch"]["step"])), P.trimmed(note["pitch"]["octave"])
+        alter = F.coalesce(P.trimmed(note["pitch"]["alter"]).try_cast("double"), F.lit(0.0)).try_cast("int")
+        sounds = note["rest"].isNull() & note["chord"].isNull() & note["pitch"].isNotNull() & step.rlike("^[A-G]$") & octave.rlike("^-*[0-9]+$")
+        return F.when(sounds, F.concat(step, P.alter_suffix(alter), octave))
+
+    return parsed(reads).select("read_id", F.posexplode(F.array_compact(F.transform(notes, parts))).alias("seq", "token"))
+
+
+def _filled(array, kind: str):
+    return F.coalesce(array, F.array().cast(kind))
 
 
 def key_fifths(reads: DataFrame) -> DataFrame:
     """(read_id, key_fifths): the first key of the document, null if there is none or it is no number."""
-    keys = F.flatten(F.flatten(F.flatten(F.transform("part", lambda p: F.transform(p["measure"], lambda m: F.transform(F.coalesce(m["attributes"], F.array().cast("array<struct<divisions:string,key:array<struct<fifths:string>>,time:array<struct<beats:string,`beat-type`:string>>>>")), lambda a: F.coalesce(a["key"], F.array().cast("array<struct<fifths:string>>"))))))))
+    keys = F.flatten(F.flatten(F.flatten(F.transform("part", lambda p: F.transform(p["measure"], lambda m: F.transform(_filled(m["attributes"], _ATTRIBUTES), lambda a: F.coalesce(a["key"], F.array().cast("array<struct<fifths:string>>"))))))))
     first = P.trimmed(F.get(F.filter(keys, lambda k: k["fifths"].isNotNull()), F.lit(0))["fifths"])
     return parsed(reads).select("read_id", F.when(first.rlike("^-*[0-9]+$"), first.try_cast("int")).alias("key_fifths"))
 
@@ -59,7 +65,7 @@ def measure_rows(reads: DataFrame) -> DataFrame:
     first = F.get(F.filter(F.transform(a, lambda x: x["divisions"]), lambda d: d.isNotNull()), F.lit(0))
     time = F.get(F.flatten(F.transform(a, lambda x: F.coalesce(x["time"], F.array().cast("array<struct<beats:string,`beat-type`:string>>")))), F.lit(0))
     length = F.aggregate(
-        F.coalesce("measure.note", F.array().cast("array<struct<pitch:struct<step:string,alter:string,octave:string>,rest:string,chord:string,duration:string>>")),
+        _filled(F.col("measure.note"), _NOTES),
         F.lit(0),
         lambda s, n: s + F.when(n["chord"].isNull() & P.trimmed(n["duration"]).rlike("^-*[0-9]+$"), F.coalesce(P.trimmed(n["duration"]).try_cast("int"), F.lit(0))).otherwise(0),
     )

@@ -52,7 +52,7 @@ def barlines(columns: DataFrame, staves: DataFrame) -> DataFrame:
     staves: staff, spacing, x_start, x_end.
     """
     found = islands(columns.where(F.col("share") >= BARLINE_SPAN), "staff", "x")
-    rows = found.join(F.broadcast(staves), "staff").withColumn("at", (F.col("first") + F.col("last")) / 2)
+    rows = found.join(staves, "staff").withColumn("at", (F.col("first") + F.col("last")) / 2)
     widest = F.greatest(F.lit(1), F.bround(BARLINE_WIDTH * F.col("spacing"), 0))
     return rows.where((F.col("last") - F.col("first") + 1 <= widest) & F.col("at").between(F.col("x_start"), F.col("x_end"))).select("staff", F.col("at").alias("x"))
 
@@ -114,11 +114,21 @@ def candidate_grid(staves: DataFrame) -> DataFrame:
     return rows.select("staff", "step", "x", (F.col("bottom") - F.col("step") * (F.col("spacing") / 2)).alias("y"))
 
 
+def not_solid(core, wide, tall, fill) -> list[tuple]:
+    """(reason, whether it holds) in order, why a mark is no solid notehead. Takes columns as well as arrays of numbers."""
+    return [
+        ("wide bar/beam", wide > WIDEST),
+        ("thin stroke (stem/accidental)", wide < NARROWEST),
+        ("thin bar (beam)", tall < LOWEST),
+        ("weak/ambiguous fill (not a solid head)", (core < CORE_MIN) | (fill < FILL_RANGE[0]) | (fill > FILL_RANGE[1])),
+    ]
+
+
 def notehead_scores(marks: DataFrame) -> DataFrame:
     """marks (fill, core, wide, tall in spacings, stem) with score, kind, reason and whether they are logged as rejected."""
-    shape = F.when(F.col("wide") > WIDEST, "wide bar/beam").when(F.col("wide") < NARROWEST, "thin stroke (stem/accidental)").when(F.col("tall") < LOWEST, "thin bar (beam)")
-    solid = (F.col("core") >= CORE_MIN) & F.col("fill").between(*FILL_RANGE)
-    reason = F.coalesce(shape, F.when(~solid, "weak/ambiguous fill (not a solid head)"), F.lit(""))
+    reason = F.lit("")
+    for name, found in reversed(not_solid(F.col("core"), F.col("wide"), F.col("tall"), F.col("fill"))):
+        reason = F.when(found, name).otherwise(reason)
     score = F.when(reason != "", 0.0).when(F.col("stem"), 0.85).otherwise(0.70)
     rows = marks.withColumns({"reason": reason, "score": score, "kind": F.when(reason == "", "solid").otherwise("")})
     return rows.withColumns({"accepted": F.col("score") >= ACCEPT, "logged": (F.col("score") < ACCEPT) & (F.col("fill") >= LOG_FILL)})

@@ -71,13 +71,13 @@ def arrange_cello(spark, sf_dir):
     _with(
         "tokens",
         rest=f"""select phrase_id, seq - 1 as seq, input, midi, {_SHARP.format(_CELLO.format('midi'))} as output, cast({_CELLO.format('midi')} as bigint) as output_midi,
-    case when {_CELLO.format('midi')} <> midi then 'shifted by octave for cello comfort' else 'kept original pitch' end as rule
+    case when {_CELLO.format('midi')} <> midi then 'shifted by octave for cello comfort' else 'kept original pitch' end as rule, cast(null as varchar) as error
     from (select phrase_id, seq, step || acc || octave as input, cast({_TOKEN_MIDI} as bigint) as midi from tokens)""",
     )
 )
 def arrange_cli_sharp(spark, sf_dir):
     lines = derived.texts(spark, sf_dir).select(F.col("phrase_id").alias("line_id"), F.col("text").alias("line"))
-    rows = score.arranged(lines).withColumnRenamed("line_id", "phrase_id").drop("error")
+    rows = score.arranged(lines).withColumnRenamed("line_id", "phrase_id")
     return _longs(rows, "seq", "midi", "output_midi")
 
 
@@ -101,12 +101,12 @@ def staff_position_long(spark, sf_dir):
     _with(
         "tokens",
         rest=f"""select phrase_id, seq - 1 as seq, step || acc || octave as pitch, cast({_TOKEN_MIDI} as bigint) as midi, {_LONG.format('(h - 30)')} as from_position,
-    {_LONG.format('(h - 18)')} as to_position, 'preserved pitch, changed clef only' as rule from (select *, octave * 7 + {_INDEX.format('step')} as h from tokens)""",
+    {_LONG.format('(h - 18)')} as to_position, 'preserved pitch, changed clef only' as rule, cast(null as varchar) as error from (select *, octave * 7 + {_INDEX.format('step')} as h from tokens)""",
     )
 )
 def translate_clefs(spark, sf_dir):
     lines = derived.texts(spark, sf_dir).select(F.col("phrase_id").alias("line_id"), F.col("text").alias("line"))
-    rows = score.translated(lines, "treble", "bass").withColumnRenamed("line_id", "phrase_id").drop("error")
+    rows = score.translated(lines, "treble", "bass").withColumnRenamed("line_id", "phrase_id")
     return _longs(rows, "seq", "midi")
 
 
@@ -224,32 +224,40 @@ def _reads(spark, sf_dir):
     """Reads with tokens, measure sums and grades: phrase and customer numbers meet as read numbers."""
     lists = derived.texts(spark, sf_dir).select(F.col("phrase_id").alias("read_id"), F.split("text", " ").alias("tokens"))
     sums = musicxml.coherence(derived.measures(spark, sf_dir))
-    heads = derived.heads(spark, sf_dir).select("read_id", (F.col("ctx") / 1000).alias("ctx"), (F.col("grade") / 1000).alias("grade"))
-    grades = gate.grade_summary(heads).withColumn("mean_ctx", gate.rounded(F.col("mean_ctx")))
+    exact = [(F.col(c) / 1000).cast("decimal(4,3)").alias(c) for c in ("ctx", "grade")]  # means are the same in any order of summing
+    grades = gate.grade_summary(derived.heads(spark, sf_dir).select("read_id", *exact))
+    grades = grades.withColumns({"mean_ctx": gate.rounded(F.col("mean_ctx")).cast("double"), "min_ctx": F.col("min_ctx").cast("double")})
     return lists.join(sums, "read_id", "left").join(grades, "read_id", "left")
 
 
+_PERCENT = "cast(cast(round_even(100 * ({0}), 0) as bigint) as varchar) || '%'"
+_DETAILS = f"""n || ' note(s)' as d0, case when within then 'all within A0–C8' else 'a note is out of range' end as d1,
+    {_PERCENT.format("case when leaps > 0 then wide / cast(leaps as double) else 0e0 end")} || ' of steps leap >2 octaves' as d2,
+    coalesce(bad, 0) || '/' || coalesce(total, 0) || ' measures don''t add up (allowed ≤0.5)' as d3,
+    case when head_count is null then 'no grade data available' else 'mean ctx-grade ' || printf('%.2f', round_even(mean_ctx, 0) / 1000e0) || ' (min ' || printf('%.2f', min_ctx / 1000e0) || '), '
+        || {_PERCENT.format("weak / cast(head_count as double)")} || ' below 0.35; need mean ≥0.55' end as d4"""
 _CHECKS = (
     _COHERENCE
     + f""", grades as ({_GRADES}), midis as (select phrase_id as read_id, seq, {_TOKEN_MIDI} as midi from tokens),
     jumps as (select read_id, midi, abs(midi - lag(midi) over (partition by read_id order by seq)) as leap from midis),
     facts as (select read_id, count(*) as n, bool_and(midi between 21 and 108) as within, count(leap) as leaps, count(*) filter (where leap > 24) as wide from jumps group by read_id),
-    checks as (select f.read_id, n >= 2 as c0, within as c1, leaps = 0 or wide < 0.5e0 * leaps as c2, not (coalesce(total, 0) >= 2 and bad > 0.5e0 * total) as c3,
-        head_count is null or (mean_ctx >= 550 and weak <= 0.5e0 * head_count) as c4 from facts f left join sums s on f.read_id = s.read_id left join grades g on f.read_id = g.read_id)"""
+    checks as (select f.read_id, {_DETAILS}, n >= 2 as c0, within as c1, leaps = 0 or wide < 0.5e0 * leaps as c2, not (coalesce(total, 0) >= 2 and bad > 0.5e0 * total) as c3,
+        head_count is null or (round_even(mean_ctx, 0) >= 550 and weak <= 0.5e0 * head_count) as c4 from facts f left join sums s on f.read_id = s.read_id left join grades g on f.read_id = g.read_id)"""
 )
+_REASON = "concat_ws('; ', case when not c0 then 'note_count [tokens]: ' || d0 end, case when not c1 then 'pitch_range [tokens]: ' || d1 end, case when not c2 then 'erratic_leaps [tokens]: ' || d2 end, case when not c3 then 'measure_arithmetic [musicxml]: ' || d3 end, case when not c4 then 'engine_grades [engine]: ' || d4 end)"
 _PATH = """select read_id, cast(ord as bigint) as ord, ['note_count', 'pitch_range', 'erratic_leaps', 'measure_arithmetic', 'engine_grades'][ord + 1] as "check",
-    [c0, c1, c2, c3, c4][ord + 1] as ok, ['tokens', 'tokens', 'tokens', 'musicxml', 'engine'][ord + 1] as source from checks, (select unnest(range(0, 5)) as ord)"""
+    [c0, c1, c2, c3, c4][ord + 1] as ok, [d0, d1, d2, d3, d4][ord + 1] as detail, ['tokens', 'tokens', 'tokens', 'musicxml', 'engine'][ord + 1] as source from checks, (select unnest(range(0, 5)) as ord)"""
 
 
-@_query(_with("measures", "tokens", "heads", rest="").rstrip() + _CHECKS + " select read_id, c0 and c1 and c2 and c3 and c4 as ok, cast(5 - c0::int - c1::int - c2::int - c3::int - c4::int as bigint) as failed from checks")
+@_query(_with("measures", "tokens", "heads", rest="").rstrip() + _CHECKS + " select read_id, c0 and c1 and c2 and c3 and c4 as ok, cast(5 - c0::int - c1::int - c2::int - c3::int - c4::int as bigint) as failed, " + _REASON + " as reason from checks")
 def confidence_gate(spark, sf_dir):
     rows = gate.assessed(_reads(spark, sf_dir))
-    return rows.select("read_id", "ok", F.size(F.filter("decision_path", lambda c: ~c["ok"])).cast("long").alias("failed"))
+    return rows.select("read_id", "ok", F.size(F.filter("decision_path", lambda c: ~c["ok"])).cast("long").alias("failed"), "reason")
 
 
 @_query(_with("measures", "tokens", "heads", rest="").rstrip() + _CHECKS + " " + _PATH)
 def decision_path(spark, sf_dir):
-    return _longs(gate.path_rows(gate.assessed(_reads(spark, sf_dir))).drop("detail"), "ord")
+    return _longs(gate.path_rows(gate.assessed(_reads(spark, sf_dir))), "ord")
 
 
 @_query(
@@ -276,14 +284,30 @@ def agreement(spark, sf_dir):
 @_query(
     _with("measures", "tokens", "heads", rest="").rstrip()
     + _CHECKS
-    + """ select f.read_id, n as note_count, wide, leaps, coalesce(bad, 0) as bad, coalesce(total, 0) as measures_total, head_count, weak from facts f
-    left join sums s on f.read_id = s.read_id left join grades g on f.read_id = g.read_id"""
+    + """ select f.read_id, n as note_count, case when leaps > 0 then round_even(wide / cast(leaps as double), 3) else 0e0 end as wild_frac,
+    case when total > 0 then round_even(bad / cast(total as double), 3) else 0e0 end as measures_bad_frac, coalesce(total, 0) as measures_total, round_even(mean_ctx, 0) / 1000e0 as mean_ctx,
+    min_ctx / 1000e0 as min_ctx, head_count, round_even(weak / cast(head_count as double), 3) as weak_frac from facts f left join sums s on f.read_id = s.read_id left join grades g on f.read_id = g.read_id"""
 )
 def feature_vector(spark, sf_dir):
-    """Features of reads as counts; shares are their quotients."""
-    counted = gate.leap_counts(gate.midi_array(F.col("tokens")))
-    rows = _reads(spark, sf_dir).withColumn("c", counted)
-    return rows.select("read_id", F.size("tokens").cast("long").alias("note_count"), F.col("c.wide").cast("long").alias("wide"), F.col("c.leaps").cast("long").alias("leaps"), F.coalesce("bad", F.lit(0)).alias("bad"), F.coalesce("total", F.lit(0)).alias("measures_total"), "head_count", "weak")
+    rows = calibrate.features(_reads(spark, sf_dir)).select("read_id", "features.*")
+    return _longs(rows, "note_count", "measures_total", "head_count")
+
+
+@_query(
+    _with("pairs", rest="").rstrip()
+    + f""", read_ as (select *, phrase_id % 7 <> 0 as out_ from pairs), made as (select r.phrase_id, out_, case when out_ then read else '' end as read, a.agreement from read_ r join ({_AGREE}) a on r.phrase_id = a.phrase_id)
+    select phrase_id, 'q' || phrase_id % 3 as quality, out_ as audiveris_ok, cast(length(read) as bigint) as n, case when out_ then round_even(agreement, 3) else 0e0 end as agreement,
+    out_ and agreement >= 0.85e0 as should_accept, case when out_ then cast(length(read) as bigint) end as note_count, case when not out_ then 'no output of ' || phrase_id end as note from made"""
+)
+def collected_dataset(spark, sf_dir):
+    """Reads with a manifest to dataset rows: every seventh image has no output. Numbers stand for pitches, so tokens are named ones."""
+    pairs = derived.pairs(spark, sf_dir).withColumn("image", F.concat(F.lit("i"), F.col("phrase_id").cast("string")))
+    named = lambda c: F.transform(c, P.mixed_name)
+    manifest = pairs.select("image", F.col("phrase_id").cast("string").alias("piece"), F.concat(F.lit("q"), (F.col("phrase_id") % 3).cast("string")).alias("quality"), named("truth").alias("gt_tokens"), F.col("truth").alias("gt_midi"))
+    none = F.lit(None)
+    reads = pairs.select("image", F.when(F.col("phrase_id") % 7 != 0, named("read")).alias("tokens"), none.cast("int").alias("bad"), none.cast("int").alias("total"), none.cast("int").alias("head_count"), none.cast("double").alias("mean_ctx"), none.cast("double").alias("min_ctx"), none.cast("int").alias("weak"), F.concat(F.lit("no output of "), F.col("phrase_id").cast("string")).alias("note"))
+    rows = calibrate.collected(manifest, reads)
+    return rows.select(F.col("piece").cast("long").alias("phrase_id"), "quality", "audiveris_ok", F.size("notes").cast("long").alias("n"), "agreement", "should_accept", F.col("features.note_count").cast("long").alias("note_count"), "note")
 
 
 @_query(
@@ -304,21 +328,21 @@ _GRID = """, ts as (select row_number() over (order by t) - 1 as t_idx, t from (
         (select count(*) from labeled where should_accept and not (mean_ctx >= t and bad_frac <= m)) as fn from ts, ms)"""
 
 
-@_query(_with("labeled", rest="").rstrip() + _GRID.replace("order by t)", "order by o, t)") + " select t_idx, m_idx, tp, fp, fn from points")
+@_query(_with("labeled", rest="").rstrip() + _GRID.replace("order by t)", "order by o, t)") + " select t_idx, t, m_idx, m, tp, fp, fn from points")
 def threshold_grid(spark, sf_dir):
     reads = derived.labeled(spark, sf_dir)
-    return _longs(calibrate.confusion(reads, calibrate.grid(reads)).select("t_idx", "m_idx", "tp", "fp", "fn"), "t_idx", "m_idx")
+    return _longs(calibrate.confusion(reads, calibrate.grid(reads)).select("t_idx", "t", "m_idx", "m", "tp", "fp", "fn"), "t_idx", "m_idx")
 
 
 @_query(
     _with("labeled", rest="").rstrip()
     + _GRID.replace("order by t)", "order by o, t)")
-    + """ select m as measure_bad_fraction, (select count(*) from labeled) as calibrated_on, cast(tp as varchar) || '/' || cast((select count(*) from labeled where should_accept) as varchar) as accepts_correct,
+    + """ select round_even(least(greatest(t, 0e0), 1e0), 3) as ctx_mean_min, m as measure_bad_fraction, (select count(*) from labeled) as calibrated_on, cast(tp as varchar) || '/' || cast((select count(*) from labeled where should_accept) as varchar) as accepts_correct,
     cast(fp as varchar) || '/' || cast((select count(*) from labeled where not should_accept) as varchar) as accepts_wrong
     from points order by fp = 0 desc, tp desc, fn, t_idx, m_idx limit 1"""
 )
 def calibrate_gate(spark, sf_dir):
-    return calibrate.calibrated(derived.labeled(spark, sf_dir)).drop("ctx_mean_min")
+    return calibrate.calibrated(derived.labeled(spark, sf_dir))
 
 
 @_query(_with("pixels", rest="select i.image_id, cast(level as bigint) as level, count(v) as n from (select distinct image_id from pixels) i cross join (select unnest(range(0, 256)) as level) left join pixels p on p.image_id = i.image_id and p.v = level group by all"))
@@ -459,9 +483,16 @@ def reader_fallback(spark, sf_dir):
     return reader.chosen(rows).select("upload_id", F.array_join("notes", " ").alias("notes"), "detection_mode", "fallback")
 
 
-@_query()
+@_query(
+    _with(
+        "marks",
+        rest="""select staff, m.x as x, m.y as y, m.fill as fill from (select staff, unnest(list_reduce(list_transform(l, lambda m: [m]), lambda kept, e:
+        case when len(list_filter(kept, lambda k: abs(k.x - e[1].x) < 0.7e0 and abs(k.y - e[1].y) < 0.8e0)) > 0 then kept else list_concat(kept, e) end)) as m
+        from (select staff, list({'x': cast(x as double), 'y': (-step) / 2e0, 'fill': fill} order by fill desc, x, step) as l from marks group by staff))""",
+    )
+)
 def suppressed_marks(spark, sf_dir):
-    """Greedy suppression per staff: held against a plain model in the tests."""
+    """Greedy suppression per staff."""
     rows = derived.marks(spark, sf_dir).select("staff", F.struct("x", "step").alias("id"), F.col("x").cast("double").alias("x"), (-F.col("step") / 2.0).alias("y"), "fill")
     return signal.suppressed(rows, 0.70, 0.80).select("staff", "x", "y", "fill")
 
@@ -492,6 +523,7 @@ def page_notes(spark, sf_dir):
             f = f.assign(height=300, width=1200, data=[_drawn(1 + i % 8, int(i)).tobytes() for i in f["image_id"]], clef="treble")
             yield f[["image_id", "height", "width", "data", "clef"]]
 
+    ids = ids.repartition(4 * spark.sparkContext.defaultParallelism, "image_id")  # few bytes, but a page of work each
     return detect.pages_read(ids.mapInPandas(draw, "image_id long, height int, width int, data binary, clef string"))
 
 
