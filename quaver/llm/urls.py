@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaver.llm.common import materialize
+from quaver.llm.common import discard, materialize
 
 #: The rules (verdict, host and start of the path) of the query.
 RULES = (
@@ -17,10 +16,12 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-#: A host that holds one of these is taken as rejected when the models are trained.
+#: Hosts with one of these as a word of their name are taken as rejected when the models are trained.
 SEEDS = ("spam", "pills", "casino", "bets", "porn", "viagra")
 #: Longest string that the models count, weight of the next shorter context, and characters assumed.
 ORDER, BACKOFF, ALPHABET = 5, 4.0, 64
+#: One in so many URLs is held out of the models that the threshold is calibrated with.
+FOLDS = 5
 #: Steps of the normalised score in which the threshold is looked for, and its range.
 STEP, RANGE = 0.02, 8.0
 #: A table of strings up to this many rows is broadcast (under 32 MB); beyond, the join is a shuffle that splits hot keys.
@@ -58,28 +59,47 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.lit(None).cast("struct<rule:string,verdict:string>") if found is None else found
 
 
+def seeded(host: Column, seeds=SEEDS) -> Column:
+    """Whether a seed is a word of the host: between its ends, dots, hyphens and digits."""
+    return host.rlike(rf"(^|[.\-0-9])({'|'.join(seeds)})([.\-0-9]|$)") if seeds else F.lit(False)
+
+
 def _grams(text: Column) -> Column:
-    """Each character with those before it, ORDER in all; the start is padded."""
-    padded = F.concat(F.lit("^" * (ORDER - 1)), text)
-    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: padded.substr(i, F.lit(ORDER)))
+    """Each character with those before it, ORDER in all, as UTF-32, where places need no search; the start is padded."""
+    units = F.array(F.encode(F.concat(F.lit("^" * (ORDER - 1)), text), "UTF-32"))
+    starts = lambda u: F.sequence(F.lit(1), F.octet_length(u) - (4 * ORDER - 1), F.lit(4))
+    return F.get(F.transform(units, lambda u: F.transform(starts(u), lambda i: F.substring(u, i, F.lit(4 * ORDER)))), F.lit(0))
+
+
+def _last(gram: Column, first: int, characters: int) -> Column:
+    return F.substring(gram, 4 * (ORDER - first) + 1, 4 * characters)
 
 
-def string_ratios(grams: DataFrame) -> DataFrame:
-    """(gram, ratio): log P(last character | those before it) in the accepted model less that in the rejected one.
+def string_ratios(grams: DataFrame, kinds: list[tuple[str, str]]) -> DataFrame:
+    """gram, and for each (accepted, rejected) of kinds a ratio: log P(last character | those before it) in the first
+    model less that in the second one, named ratio0, ratio1, ...
 
-    grams: gram, accepted, rejected (counts). The models are of variable order: each context's estimate is smoothed by
-    that of the context one shorter, down to an even spread, so contexts that were not seen leave it to shorter ones.
+    grams: gram and counts, one row a gram. The models are of variable order: each context's estimate is smoothed by that
+    of the context one shorter, down to an even spread, so contexts that were not seen leave it to shorter ones. Strings
+    and contexts of each length are grouped counts, joined to the strings one longer: no key has more rows than there are
+    characters to follow it.
     """
-    totals = grams.agg(*[F.sum(c).cast("double").alias(c) for c in ("accepted", "rejected")]).first()
-    ratio = []
-    for kind in ("accepted", "rejected"):
-        p = F.lit(1.0 / ALPHABET)
-        for k in range(1, ORDER + 1):
-            event = F.sum(kind).over(W.partitionBy(F.substring("gram", ORDER - k + 1, k)))
-            context = F.sum(kind).over(W.partitionBy(F.substring("gram", ORDER - k + 1, k - 1))) if k > 1 else F.lit(totals[kind] or 0.0)
-            p = (event + BACKOFF * p) / (context + BACKOFF)
-        ratio.append(F.log(p))
-    return grams.select("gram", (ratio[0] - ratio[1]).alias("ratio"))
+    names = [n for pair in kinds for n in pair]
+    events = grams.select("gram", *names)
+    totals = grams.agg(*[F.sum(n).cast("double").alias(n) for n in names]).first()
+    shorter = None
+    for k in range(1, ORDER + 1):
+        of = events.groupBy(_last(F.col("gram"), k, k).alias("s")).agg(*[F.sum(n).alias(n) for n in names])
+        if k == 1:
+            p = {n: (F.col(n) + BACKOFF / ALPHABET) / ((totals[n] or 0.0) + BACKOFF) for n in names}
+        else:
+            context = of.groupBy(F.substring("s", 1, 4 * (k - 1)).alias("c")).agg(*[F.sum(n).alias(f"of_{n}") for n in names])
+            of = of.withColumn("c", F.substring("s", 1, 4 * (k - 1))).join(context, "c")
+            of = of.withColumn("t", F.substring("s", 5, 4 * (k - 1))).join(shorter, "t")
+            p = {n: (F.col(n) + BACKOFF * F.col(f"p_{n}")) / (F.col(f"of_{n}") + BACKOFF) for n in names}
+        shorter = of.select(F.col("s").alias("t"), *[p[n].alias(f"p_{n}") for n in names])
+    ratios = [(F.log(f"p_{a}") - F.log(f"p_{b}")).alias(f"ratio{i}") for i, (a, b) in enumerate(kinds)]
+    return shorter.select(F.col("t").alias("gram"), *ratios)
 
 
 def threshold(bins: list[tuple[int, float, float]]) -> float:
@@ -103,9 +123,10 @@ def judged(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), score of every row of pages (page_id, url).
 
     The verdict is the rule's where one fits. Else the models decide: rejected are URLs that a rule blocks and, where no
-    rule fits, hosts that hold a seed; accepted are all others, so unruled URLs serve as background. Both models count
-    every URL of the table. The score is the log-likelihood ratio per character of the lower-cased URL, digits taken as
-    one character; it is held against a threshold that is calibrated on those two classes. If either class is empty all
+    rule fits, hosts with a seed as a word; accepted are all others, so unruled URLs serve as background. Both models
+    count every URL of the table. The score is the log-likelihood ratio per character of the lower-cased URL, digits taken
+    as one character. It is held against a threshold that is calibrated on one in FOLDS of the different URLs, by scores
+    of models that have not counted these (or on all of them, if a class has none held out). If either class is empty all
     unruled URLs are allowed. A null URL, or one without '://', has empty host and path, fits no rule and is judged by
     its characters; an empty one has score 0. Repeated rows are each returned; an empty table gives an empty result;
     other columns are ignored.
@@ -117,25 +138,35 @@ def judged(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     text = F.translate(F.lower("url"), "123456789", "000000000")
-    seeded = F.col("host").rlike("|".join(seeds)) if seeds else F.lit(False)
-    bad = F.when(F.col("found").isNull(), seeded).otherwise(F.col("found.verdict") == "block")
+    bad = F.when(F.col("found").isNull(), seeded(F.col("host"), seeds)).otherwise(F.col("found.verdict") == "block")
     rows = materialize(rows.select("page_id", "host", "path", "found.rule", "found.verdict", text.alias("read"), bad.cast("int").alias("bad")), "urls")
 
     texts = rows.groupBy("read").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("n_bad")).where("read <> ''")
-    texts = materialize(texts, "url-texts")
-    strings = texts.select("n", "n_bad", "read", F.explode(_grams(F.col("read"))).alias("gram"))
-    counts = strings.groupBy("gram").agg(F.sum(F.col("n") - F.col("n_bad")).alias("accepted"), F.sum("n_bad").alias("rejected"))
-    ratios = materialize(string_ratios(materialize(counts, "url-strings")), "url-ratios")
-    if ratios.count() <= BROADCAST_STRINGS:
-        ratios = F.broadcast(ratios)
-    scored = strings.select("read", "gram").join(ratios, "gram").groupBy("read").agg(F.avg("ratio").alias("score"))
-    rows = materialize(rows.join(scored, "read", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "url-scores")
-
-    step = F.floor(F.greatest(F.least("score", F.lit(RANGE)), F.lit(-RANGE)) / STEP)
-    bins = rows.groupBy(step.alias("step")).agg(F.sum(1 - F.col("bad")).alias("good"), F.sum("bad").alias("bad")).collect()  # 2 * RANGE / STEP rows at most
-    edge = threshold([(r.step, r.good, r.bad) for r in bins])
+    texts = materialize(texts.withColumn("held", F.pmod(F.xxhash64("read"), F.lit(FOLDS)) == 0), "url-texts")
+    strings = texts.select("n", "n_bad", "read", "held", F.explode(_grams(F.col("read"))).alias("gram"))
+    good, shown = F.col("n") - F.col("n_bad"), F.when(F.col("held"), 0).otherwise(1)
+    counts = strings.groupBy("gram").agg(
+        F.sum(good).alias("accepted"), F.sum("n_bad").alias("rejected"), F.sum(good * shown).alias("shown_accepted"), F.sum(F.col("n_bad") * shown).alias("shown_rejected"),
+    )
+    counts = materialize(counts, "url-strings")
+    ratios = materialize(string_ratios(counts, [("accepted", "rejected"), ("shown_accepted", "shown_rejected")]), "url-ratios")
+    known = F.broadcast(ratios) if ratios.count() <= BROADCAST_STRINGS else ratios
+    scored = strings.select("read", "held", "gram").join(known, "gram").groupBy("read", "held").agg(F.avg("ratio0").alias("score"), F.avg("ratio1").alias("blind"))
+    scored = materialize(scored.join(texts.select("read", "n", "n_bad"), "read"), "url-scores")
+
+    def edge_of(held: DataFrame, score: str) -> float:
+        step = F.floor(F.greatest(F.least(score, F.lit(RANGE)), F.lit(-RANGE)) / STEP)
+        bins = held.groupBy(step.alias("step")).agg(F.sum(good).alias("good"), F.sum("n_bad").alias("bad")).collect()  # 2 * RANGE / STEP rows at most
+        return threshold([(r.step, r.good, r.bad) for r in bins])
+
+    edge = edge_of(scored.where("held"), "blind")
+    if edge == -np.inf:
+        edge = edge_of(scored, "score")
+    rows_scored = rows.join(scored.select("read", "score"), "read", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    for done in (texts, counts, ratios):
+        discard(done)
     by_score = F.when(F.col("score") >= F.lit(float(edge)), F.lit("allow")).otherwise(F.lit("block"))
-    return rows.select("page_id", "host", "path", "rule", F.coalesce("verdict", by_score).alias("verdict"), "score")
+    return rows_scored.select("page_id", "host", "path", "rule", F.coalesce("verdict", by_score).alias("verdict"), "score")
 
 
 def query(spark, sf_dir):

@@ -2,12 +2,15 @@
 
 import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quaver.llm import ann, language, toxicity, urls
+from tests.llm.test_documents import hash_of
 
 
 def test_toxicity(spark):
@@ -115,6 +118,10 @@ def rule(host, path):
     return max(fits, key=lambda x: len(x[0]), default=(None, None))
 
 
+def word(host):
+    return any(w in urls.SEEDS for w in re.split("[-.0-9]", host))
+
+
 def ratio(text, counts):
     """Plain version of the two models."""
     total = 0.0
@@ -133,24 +140,63 @@ def ratio(text, counts):
 
 def test_urls(spark):
     made = ["http://A.Example.com/en/5", "https://b.example.com/en/77#x", "http://x.net/de/1?q=/", "http://example.net/de/8", "http://net/de/", "http://knet/de/", "ftp://org/es/", "http://example.org?/es/", None, "", "nohost", "http://", "http://spam.io/a", "http://good.io/a", "http://good.io/a", "http://é.fr/en/" + "z" * 300, "a://b://c/en/"]
+    rng = random.Random(2)
+    made += [f"http://{'casino-win' if i % 3 else 'best-bets2'}.io/{'win' * rng.randint(1, 3)}{rng.randint(1, 99)}" for i in range(60)]
+    made += [f"http://alphabets.io/{rng.choice(['news', 'page', 'about'])}/{rng.randint(1, 99)}" for _ in range(90)]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(made)], "page_id long, url string, host string")
     found = {r.page_id: r for r in urls.judged(df).collect()}
-    counts = {}
-    for u in made:
+    counts, shown, classes = {}, {}, {}
+    reads = ["".join("0" if c in "123456789" else c for c in (u or "").lower()) for u in made]
+    held = {t: hash_of(t) % urls.FOLDS == 0 for t in reads}
+    for u, text in zip(made, reads, strict=True):
         host, path = parts(u)
         name, verdict = rule(host, path)
-        bad = verdict == "block" if name else any(s in host for s in urls.SEEDS)
-        text = "".join("0" if c in "123456789" else c for c in (u or "").lower())
+        bad = verdict == "block" if name else word(host)
+        classes.setdefault(text, [0, 0])[bad] += 1
         for i in range(len(text)):
             counts.setdefault(("^^^^" + text)[i : i + 5], [0, 0])[bad] += 1
+            shown.setdefault(("^^^^" + text)[i : i + 5], [0, 0])[bad] += not held[text]
     for i, u in enumerate(made):
         r, (host, path) = found[i], parts(u)
         name, verdict = rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, name)
         assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
-    for i in (0, 6, 12, 13):
-        text = "".join("0" if c in "123456789" else c for c in made[i].lower())
-        assert found[i].score == pytest.approx(ratio(text, counts), abs=1e-9)
-    assert found[12].verdict == "block" and found[13].verdict == "allow"
+    bins = {}
+    for text, n in classes.items():
+        if held[text] and text:
+            step = math.floor(ratio(text, shown) / urls.STEP)
+            bins[step] = [a + b for a, b in zip(bins.get(step, [0, 0]), n, strict=True)]
+    edge = urls.threshold([(k, *v) for k, v in bins.items()])
+    scores = {t: ratio(t, counts) if t else 0.0 for t in set(reads)}
+    for i, text in enumerate(reads):
+        assert found[i].score == pytest.approx(scores[text], abs=1e-9)
+        if not found[i].rule:
+            assert found[i].verdict == ("allow" if scores[text] >= edge else "block")
+    few = {r.page_id: r.verdict for r in urls.judged(df.where("page_id < 17")).collect()}
+    assert few[12] == "block" and few[13] == "allow"
+    assert {found[i].verdict for i in range(17, 77)} == {"block"} and {found[i].verdict for i in range(77, 167)} == {"allow"}
     assert urls.judged(df.where("false")).count() == 0
     assert {r.verdict for r in urls.judged(df.where("page_id in (13, 14)")).collect()} == {"allow"}
+
+
+def test_long_urls(spark):
+    """Work grows with a URL's length, not with its square."""
+    made = [(1, "http://a.io/" + "spam-x/é" * 10_000), (2, "http://casino.io/"), (3, "http://b.io/x")]
+    df = spark.createDataFrame(made, "page_id long, url string")
+    urls.judged(df.where("page_id > 1")).collect()
+    began = time.perf_counter()
+    rows = spark.createDataFrame([(made[0][1],)], "url string").select(F.size(urls._grams(F.col("url"))).alias("n")).first()
+    assert rows.n == len(made[0][1]) and time.perf_counter() - began < 2
+    assert {r.page_id: r.verdict for r in urls.judged(df).collect()}[2] == "block"
+
+
+def test_threshold():
+    """The edge with the most right answers of both classes, by trying all."""
+    rng = random.Random(7)
+    for _ in range(30):
+        bins = [(k, rng.randint(0, 9), rng.randint(0, 9)) for k in rng.sample(range(-40, 40), 12)]
+        good, bad = sum(b[1] for b in bins), sum(b[2] for b in bins)
+        right = lambda edge: sum(g for k, g, _ in bins if k * urls.STEP >= edge - 1e-9) / good + sum(b for k, _, b in bins if (k + 1) * urls.STEP <= edge + 1e-9) / bad  # noqa: B023, E731
+        best = max(right(k * urls.STEP) for k in range(-41, 42))
+        assert right(round(urls.threshold(bins) / urls.STEP) * urls.STEP) == pytest.approx(best) or right(urls.threshold(bins)) == pytest.approx(best)
+    assert urls.threshold([(1, 3, 0)]) == -math.inf and urls.threshold([]) == -math.inf
