@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from quaver.llm.common import materialize
 
 #: The text model is fitted on about this many labelled texts of each language at most.
-FIT_ROWS, MAX_LANGUAGES = 300, 64
+FIT_ROWS = 300
+#: Languages with a smaller share of the labelled rows have no model; so there are 1000 at most, of 128 kB each.
+LEAST_SHARE = 0.001
 BUCKET_BITS, SMOOTHING = 15, 0.5
 #: Trigrams that count as independent evidence at most; weight of the next level of a prior, in rows.
 EVIDENCE, PRIOR_ROWS = 40.0, 5.0
@@ -28,12 +30,12 @@ DECLARED_ROWS = 20.0
 MARGIN, LEAST = 1.5, 0.5
 #: Hosts up to this many are broadcast (under 64 MB); beyond, the join is a shuffle that splits hot hosts.
 BROADCAST_HOSTS = 200_000
-_SKIP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]{1,8};")
+_SKIP = re.compile(rb"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^<>]*>|&[a-z#0-9]{1,8};")
 _BLANKS = re.compile(rb"\s+")
 
 
 def plain(markup: bytes) -> bytes:
-    """Text of an HTML page: scripts, styles, comments, tags and entities go."""
+    """Text of an HTML page: scripts, styles, comments (to the end, if nothing closes them), tags and entities go."""
     return _SKIP.sub(b" ", markup)
 
 
@@ -67,10 +69,12 @@ class TextModel:
 
 
 def fit(docs: DataFrame) -> TextModel:
-    """Text model from rows (doc_id, text, lang), a bounded sample of each language; languages beyond the commonest
-    MAX_LANGUAGES, null and empty ones, are left out."""
+    """Text model from rows (doc_id, text, lang), a bounded sample of each language; null and empty languages, and those
+    of less than LEAST_SHARE of the labelled rows, are left out."""
     known = docs.where("lang is not null and lang <> '' and text is not null").select("doc_id", "text", F.lower("lang").alias("lang"))
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = known.groupBy("lang").count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    sizes = {r.lang: r["count"] for r in counts.where(F.col("count") >= LEAST_SHARE * total).collect()}  # 1 / LEAST_SHARE rows at most
     if not sizes:
         return TextModel({})
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 30))
@@ -99,11 +103,16 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), where value is evaluated once: as the one element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _posterior(parts: list[Column], languages: int) -> Column:
     """array<double> of probabilities from arrays of log-scores."""
     total = F.transform(F.sequence(F.lit(0), F.lit(languages - 1)), lambda i: sum((F.get(p, i) for p in parts[1:]), F.get(parts[0], i)))
-    raised = F.transform(total, lambda x: F.exp(x - F.array_max(total)))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+    raised = _with(total, lambda t: _with(F.array_max(t), lambda most: F.transform(t, lambda x: F.exp(x - most))))
+    return _with(raised, lambda r: _with(F.aggregate(r, F.lit(0.0), lambda a, b: a + b), lambda whole: F.transform(r, lambda x: x / whole)))
 
 
 def identified(rows: DataFrame, model: TextModel, text: str, declared: Column, host: Column, markup: bool, name: str = "language") -> DataFrame:
@@ -148,8 +157,12 @@ def identified(rows: DataFrame, model: TextModel, text: str, declared: Column, h
     totals = hosts.agg(F.sum("rows").alias("rows"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(n)]).first()
     prior = [F.lit(((totals[f"n{i}"] or 0.0) + 1.0) / ((totals["rows"] or 0) + n)) for i in range(n)]
     for level in ("suffix", "domain", "host"):
-        of = hosts.groupBy(level).agg(F.sum("rows").alias(f"{level}_rows"), *[F.sum(f"n{i}").alias(f"{level}_{i}") for i in range(n)])
-        hosts = hosts.join(of, level)
+        counts = {"rows": F.col("rows")} | {str(i): F.col(f"n{i}") for i in range(n)}
+        if level == "host":  # a row each already
+            hosts = hosts.select("*", *[c.alias(f"host_{k}") for k, c in counts.items()])
+        else:
+            of = hosts.groupBy(level).agg(*[F.sum(c).alias(f"{level}_{k}") for k, c in counts.items()])
+            hosts = hosts.join(of, level)
         prior = [(F.col(f"{level}_{i}") + PRIOR_ROWS * p) / (F.col(f"{level}_rows") + PRIOR_ROWS) for i, p in enumerate(prior)]
     priors = materialize(hosts.select(F.col("host").alias("h"), F.array(*[F.log(p) for p in prior]).alias("prior")), "priors")
     if priors.count() <= BROADCAST_HOSTS:

@@ -102,6 +102,63 @@ def test_language(spark, sf):
     assert language.documents_identified(odd.where("false"), model).count() == 0
 
 
+def test_posterior_by_hand(spark):
+    """Text, declaration and priors of host, domain and suffix against plain Python, for all rows."""
+    rng = random.Random(4)
+    words = {x: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(40)] for x, letters in (("aa", "abcde"), ("bb", "bcdef"), ("cc", "defgh"))}
+    say = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    train = spark.createDataFrame([(i, say(x, 30), x) for i, x in enumerate(list(words) * 20)], "doc_id long, text string, lang string")
+    model = language.fit(train)
+    assert model.languages == ["aa", "bb", "cc"]
+    hosts = ["a.x.net", "b.x.net", "x.net", "a.y.org", "y.org", "", None]
+    rows = [(i, rng.choice([say(rng.choice(list(words)), rng.choice([0, 1, 3, 20])), None]), rng.choice(["aa", "bb", "cc", "zz", None]), rng.choice(hosts)) for i in range(80)]
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "id long, text string, said string, host string")
+    found = language.identified(df, model, "text", F.col("said"), F.col("host"), False).collect()
+    soft = lambda v: (lambda e: e / e.sum())(np.exp(np.array(v) - max(v)))
+    likes, alone = {}, {}
+    for i, text, said, host in rows:
+        *mean, grams = model.evidence((text or "").encode())
+        likes[i] = np.array(mean) * min(grams, language.EVIDENCE)
+        alone[i] = soft(likes[i])
+    table = np.full((3, 4), 1.0)
+    table[range(3), range(3)] += language.DECLARED_ROWS
+    for i, _, said, _ in rows:
+        table[:, model.languages.index(said) if said in words else 3] += alone[i]
+    table = np.log(table / table.sum(axis=1, keepdims=True))
+    level = {"suffix": lambda h: h.split(".")[-1], "domain": lambda h: ".".join(h.split(".")[-2:]), "host": lambda h: h}
+    for r, (i, text, said, host) in zip(sorted(found, key=lambda r: r.id), sorted(rows, key=lambda r: r[0]), strict=True):
+        prior = (sum(alone[x[0]] for x in rows) + 1.0) / (len(rows) + 3)
+        for name in ("suffix", "domain", "host"):
+            own = [alone[x[0]] for x in rows if level[name](x[3] or "") == level[name](host or "")]
+            prior = (sum(own) + language.PRIOR_ROWS * prior) / (len(own) + language.PRIOR_ROWS)
+        p = soft(likes[i] + table[:, model.languages.index(said) if said in words else 3] + np.log(prior))
+        assert r.language.confidence == pytest.approx(p.max(), abs=1e-9)
+        if r.language.lang != "und":
+            assert r.language.lang == model.languages[int(p.argmax())]
+
+
+def test_many_languages(spark):
+    """No language with enough rows goes without a model, and many cost no more than in proportion."""
+    rng = random.Random(1)
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(90)]
+    words = {x: ["".join(chr(0x4E00 + 40 * i + rng.randint(0, 39)) for _ in range(4)) for _ in range(12)] for i, x in enumerate(names)}
+    rows = [(k, " ".join(rng.choice(words[x]) for _ in range(30)), x, "s") for k, x in enumerate(names * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language.fit(df)
+    assert model.languages == sorted(names)
+    found = language.documents_identified(df, model).collect()
+    assert all(r.language.text_lang == r.lang and r.language.accepted for r in found)
+
+
+def test_plain_markup():
+    assert language.plain(b"<p>one<script>two</script>three<!-- x -->four &amp; five<b") == b" one three four   five<b"
+    assert language.plain(b"a<style>b") == b"a " and language.plain(b"a<!--b") == b"a "
+    began = time.perf_counter()
+    language.plain(b"<script " * 40_000 + b"<!-- " * 40_000 + b"<a " * 40_000)
+    assert time.perf_counter() - began < 2
+
+
 def parts(url):
     url = url or ""
     if "://" not in url:
