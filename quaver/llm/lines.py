@@ -12,6 +12,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ BAND = (0, 1, 4)
 SHORT, SIGNATURES = 24, 3
 #: Hashes of a line that are expected to stay candidates for its minima (the larger ones cannot well be least), and
 #: shingles that are looked at to tell whether a line repeats itself.
-KEPT, PROBES = 64, 32
+KEPT, PROBES = 32, 32
 #: Longs of a sketch.
 SKETCH = 32
 #: Bands of up to this many lines are compared whole by the first round; of those left, these many are by the second.
@@ -38,23 +40,28 @@ BROADCAST_ROWS = 1_000_000
 BLANK = " \t\n\x0b\x0c\r"
 
 
+def _units(line: Column) -> Column:
+    """The characters of a line, two bytes each (four beyond the basic plane, which count as two)."""
+    return F.encode(line, "UTF-16BE")
+
+
 def _shingle_starts(units: Column) -> Column:
-    """Places of the shingles of a line in UTF-32: every character that SHINGLE characters begin at; else the first."""
-    return F.sequence(F.lit(1), F.greatest(F.octet_length(units) - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
+    """Places of the shingles of a line in _units(): every character that SHINGLE characters begin at; else the first."""
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(units) - (2 * SHINGLE - 1), F.lit(1)), F.lit(2))
 
 
 def _shingle_count(units: Column) -> Column:
     """How many places _shingle_starts() gives."""
-    return F.greatest((F.octet_length(units) / 4 - (SHINGLE - 1)).cast("int"), F.lit(1))
+    return F.greatest(F.shiftright(F.octet_length(units), 1) - (SHINGLE - 1), F.lit(1))
 
 
 def _shingle_hash(units: Column, start: Column) -> Column:
-    return F.xxhash64(F.substring(units, start, F.lit(4 * SHINGLE)))
+    return F.xxhash64(F.substring(units, start, F.lit(2 * SHINGLE)))
 
 
 def shingle_hashes(line: Column) -> Column:
     """Distinct hashes of all strings of SHINGLE characters of a line; of the whole line, if it is shorter."""
-    units = F.array(F.encode(line, "UTF-32"))
+    units = F.array(_units(line))
     return F.get(F.transform(units, lambda u: F.array_distinct(F.transform(_shingle_starts(u), lambda i: _shingle_hash(u, i)))), F.lit(0))
 
 
@@ -64,10 +71,10 @@ def _limit(units: Column, shingles: Column) -> Column:
     Short lines keep all hashes, and so do lines that repeat themselves, as PROBES shingles drawn from all over them show.
     """
     room = 1 << (64 - (MINIMA - 1).bit_length())
-    step = F.floor(shingles / PROBES)
-    place = lambda k: k * step + F.pmod(F.xxhash64(k), step)
-    probes = F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda k: F.substring(units, (4 * place(k) + 1).cast("int"), F.lit(4 * SHINGLE)))
-    few = F.when(shingles <= KEPT, True).otherwise(F.size(F.array_distinct(probes)) < PROBES - 2)
+    rng = random.Random(1)  # any numbers will do that keep no step with a period
+    places = F.array(*[F.lit((k + rng.random()) / PROBES) for k in range(PROBES)])
+    probes = F.transform(places, lambda share: F.substring(units, 2 * (share * shingles).cast("int") + 1, F.lit(2 * SHINGLE)))
+    few = F.when(shingles <= KEPT, True).otherwise(F.size(F.array_distinct(probes)) < PROBES - 1)
     return F.when(few, F.lit(room)).otherwise((F.lit(float(room) * KEPT) / shingles).cast("long"))
 
 
@@ -79,11 +86,11 @@ def signatures(lines: DataFrame) -> DataFrame:
     SIGNATURES families. Of long lines a hash enters if it is small behind its leading bits, as the least ones are (the
     first shingle always does). Shingles are rows that are aggregated before anything is shuffled; no text is shuffled.
     """
-    units = lines.select("h", F.encode("line", "UTF-32").alias("units")).withColumn("shingles", _shingle_count(F.col("units")))
+    units = lines.select("h", _units(F.col("line")).alias("units")).withColumn("shingles", _shingle_count(F.col("units")))
     units = units.select("h", "units", _limit(F.col("units"), F.col("shingles")).alias("limit"), F.when(F.col("shingles") <= SHORT, SIGNATURES - 1).otherwise(0).alias("last"))
     units = units.select("h", "units", "limit", F.explode(F.sequence(F.lit(0), "last")).alias("family"))
     starts = units.select("h", "family", "units", "limit", F.explode(_shingle_starts(F.col("units"))).alias("start"))
-    of = F.xxhash64(F.substring("units", F.col("start"), F.lit(4 * SHINGLE)), "family")
+    of = F.xxhash64(F.substring("units", F.col("start"), F.lit(2 * SHINGLE)), "family")
     hashes = starts.select("h", "family", "limit", (F.col("start") == 1).alias("first"), of.alias("s"))
     bits = (MINIMA - 1).bit_length()
     hashes = hashes.where(F.col("first") | (F.shiftrightunsigned(F.shiftleft("s", bits), bits) < F.col("limit")))
@@ -143,25 +150,36 @@ def texts_of(lines: DataFrame, hashes: DataFrame) -> DataFrame:
     few = hashes.count() <= BROADCAST_ROWS
     found = lines.join(F.broadcast(hashes) if few else hashes, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
     found = materialize(found, "line-texts")
-    units = found.select("h", F.encode("line", "UTF-32").alias("units"))
+    units = found.select("h", _units(F.col("line")).alias("units"))
     starts = units.select("h", "units", F.explode(_shingle_starts(F.col("units"))).alias("start"))
     hashed = starts.select("h", _shingle_hash(F.col("units"), F.col("start")).alias("s"))
-    word, bit = F.shiftrightunsigned("s", 6).bitwiseAND(F.lit(SKETCH - 1)), F.expr("shiftleft(1L, cast(s & 63 as int))")
-    marked = hashed.groupBy("h", word.alias("word")).agg(F.bit_or(bit).alias("bits"), F.count(F.lit(1)).alias("places"))
-    words = [F.coalesce(F.max(F.when(F.col("word") == i, F.col("bits"))), F.lit(0).cast("long")) for i in range(SKETCH)]
-    sketches = marked.groupBy("h").agg(F.sum("places").cast("int").alias("size"), F.array(*words).alias("bits"))
+    half, bit = SKETCH // 2, F.expr("shiftleft(1L, cast(s & 63 as int))")
+    word = F.shiftrightunsigned("s", 6).bitwiseAND(F.lit(half - 1))
+    side = F.shiftrightunsigned("s", 58).bitwiseAND(F.lit(1))
+    marked = hashed.select("h", side.alias("side"), word.alias("word"), bit.alias("bit"))
+    zero = F.lit(0).cast("long")
+    marked = marked.groupBy("h", "side").agg(F.count(F.lit(1)).alias("places"), *[F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(zero)).alias(f"w{i}") for i in range(half)])
+    marked = marked.select("h", "side", "places", F.array(*[F.col(f"w{i}") for i in range(half)]).alias("bits"))
+    none = F.array(*[zero] * half)
+    of = [F.coalesce(F.max(F.when(F.col("side") == i, F.col("bits"))), none) for i in (0, 1)]
+    sketches = marked.groupBy("h").agg(F.sum("places").cast("int").alias("size"), F.concat(*of).alias("bits"))
     whole = materialize(found.join(sketches, "h"), "line-sketches")
     discard(found)
     return whole
 
 
-def _may_be_similar(a: str, b: str) -> Column:
-    """Whether sizes and sketches of two lines allow that they are SIMILAR: false only if they are not.
+def folded() -> Column:
+    """A sketch in half the longs. More of them make a join's code so long that it is not compiled."""
+    return F.array(*[F.get("bits", F.lit(i)).bitwiseOR(F.get("bits", F.lit(i + SKETCH // 2))) for i in range(SKETCH // 2)]).alias("bits")
+
+
+def _may_be_similar(longs: int = SKETCH // 2) -> Column:
+    """Whether sizes and sketches of two lines a and b allow that they are SIMILAR: false only if they are not.
 
     Sets of a similarity of t differ in at most (1 - t) / (1 + t) of the sum of their sizes.
     """
-    sizes = F.col(f"size_{a}") + F.col(f"size_{b}")
-    differ = [F.bit_count(F.get(f"bits_{a}", F.lit(i)).bitwiseXOR(F.get(f"bits_{b}", F.lit(i)))) for i in range(SKETCH)]
+    sizes = F.col("size_a") + F.col("size_b")
+    differ = [F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(longs)]
     return sum(differ, F.lit(0)) <= F.lit((1 - SIMILAR) / (1 + SIMILAR) + 1e-9) * sizes
 
 
@@ -169,7 +187,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose whole shingle sets have a Jaccard similarity of SIMILAR or more. texts: as texts_of()."""
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(*[F.col(c).alias(side if c == "h" else f"{c}_{side}") for c in ("h", "line", "size", "bits")]), side)
-    pairs = pairs.where(_may_be_similar("a", "b"))
+    pairs = pairs.where(_may_be_similar(SKETCH))
     pairs = pairs.select("a", "b", shingle_hashes(F.col("line_a")).alias("one"), shingle_hashes(F.col("line_b")).alias("two"))
     pairs = pairs.select("a", "b", F.size(F.array_intersect("one", "two")).alias("shared"), (F.size("one") + F.size("two")).alias("both"))
     return pairs.where(F.col("shared") >= SIMILAR * (F.col("both") - F.col("shared"))).select("a", "b")
@@ -187,10 +205,10 @@ def unsettled(places: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def whole_band_pairs(left: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components within the bands of up to WHOLE_BAND lines of unsettled(), as sketches allow."""
-    few = left.where(f"left <= {WHOLE_BAND}").join(texts.select("h", "size", "bits"), "h")
+    """(a, b): pairs of different components, within bands that unsettled() has up to WHOLE_BAND lines of, as sketches allow."""
+    few = left.where(f"left <= {WHOLE_BAND}").join(texts.select("h", "size", folded()), "h")
     one, two = (few.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("h", "root", "size", "bits")]) for side in "ab")
-    met = one.join(two, (one.key == two.key) & (F.col("h_a") < F.col("h_b")) & (F.col("root_a") != F.col("root_b")) & _may_be_similar("a", "b"))
+    met = one.join(two, (one.key == two.key) & (F.col("h_a") < F.col("h_b")) & (F.col("root_a") != F.col("root_b")) & _may_be_similar())
     return met.select(F.col("h_a").alias("a"), F.col("h_b").alias("b")).distinct()
 
 
@@ -205,7 +223,7 @@ def prefix_pairs(lines: DataFrame) -> DataFrame:
     of their hash, under 15 bits of their count: a clash gives a candidate more.
     """
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as the lines are few bytes but much work
-    units = lines.repartition(parts, "h").select("h", "root", F.encode("line", "UTF-32").alias("units"))
+    units = lines.repartition(parts, "h").select("h", "root", _units(F.col("line")).alias("units"))
     starts = units.select("h", "root", "units", F.explode(_shingle_starts(F.col("units"))).alias("start"))
     hashed = _shingle_hash(F.col("units"), F.col("start")).bitwiseAND(F.lit((1 << 48) - 1))
     sets = starts.select("h", "root", hashed.alias("s")).groupBy("h", "root", "s").agg(F.lit(1).alias("one")).select("h", "root", "s")
@@ -219,12 +237,12 @@ def prefix_pairs(lines: DataFrame) -> DataFrame:
     least = SIMILAR - 1e-9
     ordered = ordered.withColumn("least_shared", F.ceil(F.size("set") * F.lit(least)).cast("int"))
     first = ordered.select("h", "root", F.size("set").alias("own"), F.posexplode(F.expr("slice(set, 1, 1 + size(set) - least_shared)")).alias("at", "s"))
-    first = first.where(F.col("s") >= F.lit(2 << 48)).join(lines.select("h", "size", "bits"), "h")
+    first = first.where(F.col("s") >= F.lit(2 << 48)).join(lines.select("h", "size", folded()), "h")
     first = materialize(first, "line-prefixes")
     one, two = (first.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("h", "root", "own", "at", "size", "bits")]) for side in "ab")
     most = F.least(F.col("own_a") - F.col("at_a"), F.col("own_b") - F.col("at_b"))
     fits = most >= F.lit(least / (1 + least)) * (F.col("own_a") + F.col("own_b"))
-    met = one.join(two, (one.s == two.s) & (F.col("h_a") < F.col("h_b")) & (F.col("root_a") != F.col("root_b")) & fits & _may_be_similar("a", "b"))
+    met = one.join(two, (one.s == two.s) & (F.col("h_a") < F.col("h_b")) & (F.col("root_a") != F.col("root_b")) & fits & _may_be_similar())
     met = materialize(met.select(F.col("h_a").alias("a"), F.col("h_b").alias("b")).distinct(), "line-prefix-pairs")
     discard(first)
     discard(common)
