@@ -14,8 +14,8 @@ from quaver.llm.common import materialize
 
 #: The index is fitted on this many vectors at most; every vector is indexed.
 FIT_ROWS, PILOT_QUERIES = 8192, 256
-#: Wanted entries of a cell, centroids of a half, and rows of a block.
-CELL_ROWS, MAX_CENTROIDS, BLOCK_ROWS = 48, 128, 4096
+#: Wanted entries of a cell, centroids of a half, rows of a block, and queries that a block's copy serves and compares at once.
+CELL_ROWS, MAX_CENTROIDS, BLOCK_ROWS, BLOCK_QUERIES, AT_ONCE = 48, 128, 16384, 32768, 256
 #: Recall that the share of entries to visit is fitted for on the pilot queries.
 PILOT_RECALL = 0.96
 
@@ -128,7 +128,8 @@ def nearest(vectors: DataFrame, k: int = 20, is_query=None) -> DataFrame:
 
     Equal vectors are one entry that keeps its k + 1 smallest ids (more can't be among k), and equal queries are searched
     once. Entries are dealt to blocks of whole cells, large cells to several, and a query is sent to each block in which
-    it visits a cell; blocks keep the k + 1 best of each query.
+    it visits a cell; blocks keep the k + 1 best of each query. A block is copied once for BLOCK_QUERIES of all queries,
+    so what is sent grows with entries and with queries visited, not with the square of the table, up to there.
     """
     is_query = (F.col("vec_id") % 20 == 0) if is_query is None else is_query
     rows = _usable(vectors)
@@ -156,7 +157,8 @@ def nearest(vectors: DataFrame, k: int = 20, is_query=None) -> DataFrame:
 
     asked = rows.where(is_query).groupBy("v").agg(F.min("vec_id").alias("query"))
     asked = materialize(asked, "queries")
-    salts = max(1, -(-asked.count() // BLOCK_ROWS))
+    salts = max(1, -(-asked.count() // BLOCK_QUERIES))
+    parts_asked = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
 
     def probe(frames):
         for f in frames:
@@ -179,7 +181,8 @@ def nearest(vectors: DataFrame, k: int = 20, is_query=None) -> DataFrame:
                 spread = np.array([i[0] for i in f["ids"]]) * 0x9E3779B1 % (1 << 32) % parts[cell]
                 yield f.assign(block=first[cell] + spread)
 
-    probes = asked.mapInPandas(probe, "block long, query long, v array<double>, cells array<int>")
+    # A query is few bytes, but its walk over the cells is work: dealt out, whatever the files are.
+    probes = asked.repartition(parts_asked, "query").mapInPandas(probe, "block long, query long, v array<double>, cells array<int>")
     probes = probes.withColumn("salt", F.pmod(F.xxhash64("query"), F.lit(salts)).cast("int"))
     blocks = placed.mapInPandas(dealt, "v array<double>, ids array<long>, cell int, block long")
     blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -189,22 +192,21 @@ def nearest(vectors: DataFrame, k: int = 20, is_query=None) -> DataFrame:
         if not len(queries) or not len(block):
             return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in columns})
         x, cell = np.stack(block["v"]), block["cell"].to_numpy()
-        q = np.stack(queries["v"])
-        score = q @ x.T
         names, at = np.unique(cell, return_inverse=True)
-        seen = np.zeros((len(q), len(names)), dtype=bool)
-        for i, cells in enumerate(queries["cells"]):
-            seen[i, np.searchsorted(names, np.intersect1d(cells, names))] = True
-        score[~seen[:, at]] = -np.inf
-        best = min(k + 1, score.shape[1])
-        top = np.argpartition(-score, best - 1, axis=1)[:, :best]
-        floor = np.take_along_axis(score, top, 1).min(axis=1)
-        ids, out = block["ids"].to_numpy(), []
-        for i, query in enumerate(queries["query"]):
-            hits = np.flatnonzero((score[i] >= floor[i] - 1e-12 * abs(floor[i])) & np.isfinite(score[i]))
-            exact = (x[hits] * q[i]).sum(axis=1)
-            found = sorted((-s, int(v)) for s, h in zip(exact, hits, strict=True) for v in ids[h])[: k + 1]
-            out += [(query, v, -s) for s, v in found]
+        ids, best, out = block["ids"].to_numpy(), min(k + 1, len(x)), []
+        for start in range(0, len(queries), AT_ONCE):
+            part = queries.iloc[start : start + AT_ONCE]
+            q = np.stack(part["v"])
+            seen = np.zeros((len(q), len(names)), dtype=bool)
+            for i, cells in enumerate(part["cells"]):
+                seen[i, np.searchsorted(names, np.intersect1d(cells, names))] = True
+            score = np.where(seen[:, at], q @ x.T, -np.inf)
+            floor = np.partition(score, len(x) - best, axis=1)[:, len(x) - best]
+            for i, query in enumerate(part["query"]):
+                hits = np.flatnonzero((score[i] >= floor[i] - 1e-12 * abs(floor[i])) & np.isfinite(score[i]))
+                exact = (x[hits] * q[i]).sum(axis=1)
+                found = sorted((-s, int(v)) for s, h in zip(exact, hits, strict=True) for v in ids[h])[: k + 1]
+                out += [(query, v, -s) for s, v in found]
         return pd.DataFrame(out, columns=columns)
 
     found = (

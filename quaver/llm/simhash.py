@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, words_each: int = 3) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, words_each: int = 3) -> DataFrame:
     """docs with one row of each component: its smallest doc_id, all columns kept, whatever their names.
 
-    Rows without an id give way to rows with one; of rows that repeat an id and a fingerprint one stays.
+    Rows without an id give way to rows with one; of rows that repeat an id and a fingerprint one stays, that whose
+    columns have the least hash.
     """
     names = docs.columns
     last = F.lit((1 << 63) - 1)
@@ -176,7 +177,7 @@ def without_near_duplicates(docs: DataFrame, words_each: int = 3) -> DataFrame:
     rooted = components(rows.select("doc_id", "fp"))
     stays = rooted.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("one")).select(F.col("one.least").alias("doc_id"), F.col("one.fp").alias("fp"))
     rows = rows.join(stays, ["doc_id", "fp"], "left_semi")
-    rows = rows.withColumn("at", F.row_number().over(W.partitionBy("doc_id", "fp").orderBy(F.lit(0)))).where("at = 1")
+    rows = rows.withColumn("at", F.row_number().over(W.partitionBy("doc_id", "fp").orderBy(F.xxhash64(F.col("kept").cast("string"))))).where("at = 1")
     return rows.select(*[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(names)])
 
 

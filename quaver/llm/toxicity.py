@@ -114,17 +114,19 @@ class Field:
         return odds / (1 + odds)
 
 
-def fit_field(words: np.ndarray, states: np.ndarray) -> Field:
+def fit_field(words: np.ndarray, states: np.ndarray, lengths: np.ndarray | None = None) -> Field:
     """Fits the field to windows: words (windows x WINDOW x features, -1 for none) and states (windows x WINDOW).
 
-    Maximises the conditional log-likelihood of the states by AdaGrad; expected counts come from forward-backward.
+    lengths tells how many words a window has, if not all: what lies past them takes no part. Maximises the conditional log-likelihood of the states by AdaGrad; expected counts come from forward-backward.
     """
     size = 1 << FEATURE_BITS
     theta, bias, moves, head = np.zeros(size + 1), -2.0, np.zeros((2, 2)), np.zeros(2)
     sums = [np.full(size + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6), np.full(2, 1e-6)]
     n, width = states.shape
     index = np.where(words < 0, size, words)
-    seen_moves = np.array([[((states[:, :-1] == i) & (states[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)])
+    known = np.arange(width) < (np.full(n, width) if lengths is None else lengths)[:, None]
+    both = known[:, 1:]
+    seen_moves = np.array([[((states[:, :-1] == i) & (states[:, 1:] == j) & both).sum() for j in (0, 1)] for i in (0, 1)])
     seen_head = np.array([(states[:, 0] == i).sum() for i in (0, 1)])
     for _ in range(ROUNDS):
         theta[size] = 0.0
@@ -138,17 +140,17 @@ def fit_field(words: np.ndarray, states: np.ndarray) -> Field:
             f[:, t] = (f[:, t - 1] @ m) * e[:, t]
             f[:, t] /= f[:, t].sum(axis=1, keepdims=True)
         for t in range(width - 2, -1, -1):
-            b[:, t] = (b[:, t + 1] * e[:, t + 1]) @ m.T
+            b[:, t] = np.where(known[:, t + 1, None], (b[:, t + 1] * e[:, t + 1]) @ m.T, 1.0)
             b[:, t] /= b[:, t].sum(axis=1, keepdims=True)
         p = f * b
         p = p / p.sum(axis=2, keepdims=True)
         pair = f[:, :-1, :, None] * m[None, None] * (e * b)[:, 1:, None, :]
         pair /= pair.sum(axis=(2, 3), keepdims=True)
-        miss = (states - p[:, :, 1]) / n
+        miss = np.where(known, states - p[:, :, 1], 0.0) / n
         grads = [
             np.bincount(index.ravel(), weights=np.repeat(miss.ravel(), index.shape[2]), minlength=size + 1) - 1e-7 * theta,
             float(miss.sum()),
-            (seen_moves - pair.sum(axis=(0, 1))) / n,
+            (seen_moves - (pair * both[:, :, None, None]).sum(axis=(0, 1))) / n,
             (seen_head - p[:, 0].sum(axis=0)) / n,
         ]
         for k, g in enumerate(grads):
@@ -161,30 +163,30 @@ def fit_field(words: np.ndarray, states: np.ndarray) -> Field:
     return Field(theta, float(bias), moves, head)
 
 
-def _windows(texts: list[str], labels: np.ndarray, marked: set[str]) -> tuple[np.ndarray, np.ndarray]:
+def _windows(texts: list[str], labels: np.ndarray, marked: set[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that cover every word of the texts (features, states, lengths): all with a toxic word, a share of others."""
     rng, cache = np.random.default_rng(11), {}
-    words, states, clean = [], [], []
+    toxic, clean = [], []
     for text, label in zip(texts, labels, strict=True):
         found = [w.lower() for w in _WORD.findall(text)]
         tags = np.zeros(len(found), dtype=np.int64)
         if label:
             tags[:] = [("=" + w) in marked or any(w[:n] in marked for n in (4, 5, 6) if len(w) >= n) for w in found]
-        for at in range(0, len(found) - WINDOW + 1, WINDOW):
-            if tags[at : at + WINDOW].any():
-                words.append(found[at : at + WINDOW])
-                states.append(tags[at : at + WINDOW])
+        for at in range(0, len(found), WINDOW):
+            window = found[at : at + WINDOW], tags[at : at + WINDOW]
+            if window[1].any():
+                toxic.append(window)
             elif rng.random() < 0.2:
-                clean.append(found[at : at + WINDOW])
+                clean.append(window)
     rng.shuffle(clean)
-    for w in clean[:CLEAN_WINDOWS]:
-        words.append(w)
-        states.append(np.zeros(WINDOW, dtype=np.int64))
-    out = np.full((len(words), WINDOW, 5), -1, dtype=np.int64)
-    for i, window in enumerate(words):
+    windows = toxic + clean[:CLEAN_WINDOWS]
+    out, states = np.full((len(windows), WINDOW, 5), -1, dtype=np.int64), np.zeros((len(windows), WINDOW), dtype=np.int64)
+    for i, (window, tags) in enumerate(windows):
+        states[i, : len(tags)] = tags
         for j, w in enumerate(window):
             f = cache.get(w) or cache.setdefault(w, features(w))
             out[i, j, : len(f)] = f
-    return out, np.array(states).reshape(-1, WINDOW)
+    return out, states, np.array([len(tags) for _, tags in windows], dtype=np.int64)
 
 
 class Scorer:
@@ -246,10 +248,10 @@ def fit(texts: list[str], labels: np.ndarray, toxic_share: float) -> Scorer:
     texts, labels = [texts[i] for i in own], labels[own]
     if labels.min() == labels.max():
         return Scorer(None, flat)
-    words, states = _windows(texts, labels, marks(texts, labels))
+    words, states, sizes = _windows(texts, labels, marks(texts, labels))
     if not states.any():
         return Scorer(None, flat)
-    field = fit_field(words, states)
+    field = fit_field(words, states, sizes)
     lists = [_WORD.findall(t) for t in texts]
     lengths = np.array([len(w) for w in lists])
     p = field.marginals(field.word_scores([w for ws in lists for w in ws]), np.concatenate([[0], np.cumsum(lengths)])[:-1][lengths > 0], lengths[lengths > 0])
@@ -272,7 +274,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels of a bounded sample of the rows that may be learned from, and the share of toxic ones of all."""
+    """Texts and labels of a bounded sample of the rows that may be learned from, and the share of toxic ones of all.
+
+    Of texts that share an id the least one stands for it, so the sample has TOXIC_ROWS + CLEAN_ROWS texts at most.
+    """
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("id"), (F.col("toxic") != 0).cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -281,6 +286,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, f
         part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(most)
         drawn = part if drawn is None else drawn.union(part)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(drawn), "id").select("id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.groupBy("id", "toxic").agg(F.min("text").alias("text"))
     found = sorted(rows.collect(), key=lambda r: (r.id, r.text))
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return [r.text for r in found], np.array([r.toxic for r in found], dtype=np.int64), share

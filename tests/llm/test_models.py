@@ -41,6 +41,31 @@ def test_toxicity(spark):
     assert none.count() == len(rows) and toxicity.scored(docs.where("false"), toxicity.Scorer(None, np.zeros(4))).count() == 0
 
 
+def test_short_texts_are_learned_from():
+    """Comments shorter than a training window teach the field as well."""
+    rng = random.Random(5)
+    words, foul = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(10)], ["grukk", "snarv", "blorp"]
+    made = []
+    for i in range(400):
+        text = [rng.choice(words) for _ in range(rng.randint(3, 9))]
+        if i % 4 == 0:
+            text.insert(rng.randint(0, len(text)), rng.choice(foul))
+        made.append((" ".join(text), int(i % 4 == 0)))
+    scorer = toxicity.fit([t for t, _ in made[:300]], np.array([y for _, y in made[:300]]), 0.25)
+    scores, _ = scorer.documents([t for t, _ in made[300:]])
+    assert sum((s >= toxicity.THRESHOLD) == bool(y) for s, (_, y) in zip(scores, made[300:], strict=True)) >= 98
+
+
+def test_masked_windows_are_as_unmasked_ones():
+    """What lies past a window's length does not change the fit."""
+    rng = np.random.default_rng(6)
+    words, states = rng.integers(0, 50, (40, 6, 5)), rng.integers(0, 2, (40, 6))
+    lengths = np.full(40, 4)
+    one = toxicity.fit_field(words[:, :4], states[:, :4])
+    two = toxicity.fit_field(words, states, lengths)
+    assert np.allclose(one.weights, two.weights) and np.allclose(one.moves, two.moves) and np.allclose(one.head, two.head)
+
+
 def test_marginals_against_all_paths():
     rng = np.random.default_rng(0)
     field = toxicity.Field(np.zeros(1), 0.0, rng.normal(size=(2, 2)), rng.normal(size=2))
