@@ -138,6 +138,11 @@ def clef_or_treble(clef: Column) -> Column:
     return F.when(known_clef(clef), clef).otherwise("treble")
 
 
+def parsed_clef(name: Column) -> Column:
+    """The clef of a name; another name fails the query, null stays null."""
+    return F.when(name.isNull() | known_clef(name), name).otherwise(F.raise_error(F.concat(F.lit("Unknown clef: "), name)))
+
+
 def bottom_index(clef: Column) -> Column:
     """Diatonic number (7 an octave) of a clef's bottom line; null for an unknown clef."""
     return _lookup({c: 7 * octave + LETTERS.index(step) for c, (_, _, step, octave) in CLEFS.items()}, clef)

@@ -1,6 +1,7 @@
 """The notation engine: functions, scores, MusicXML, gate, calibration, against plain Python and known cases."""
 
 import json
+import sys
 import zipfile
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quaver.functions import pitch as P
 from quaver.operators import calibrate, gate, musicxml, reader, score
-from quaver.sources import corpus, files
+from quaver.sources import corpus, files, sinks, uploads
 
 
 def column(spark, values, kind, expression):
@@ -190,3 +191,70 @@ def test_files(spark, tmp_path):
     assert tuple(gate.thresholds(rows).first())[:2] == (0.6, 0.25)
     (tmp_path / "d.jsonl").write_text('{"image": "i", "agreement": 0.5, "features": null}\n\n{"image": "j", "features": {"mean_ctx": 0.7}}\n')
     assert [r.features and r.features.mean_ctx for r in files.dataset(spark, str(tmp_path / "d.jsonl")).orderBy("image").collect()] == [None, 0.7]
+
+
+def test_dataset_of_reads(spark, tmp_path):
+    """From a manifest and reads of its images to dataset rows, and from those to gate parameters."""
+    truth = corpus.labelled(spark).where("piece in ('cmajor', 'triad')").withColumn("image", F.concat_ws("/", "piece", "quality"))
+    manifest = truth.select("image", "piece", "quality", "gt_tokens", "gt_midi")
+    sinks.write_rows(manifest, str(tmp_path / "manifest"))
+    manifest = spark.read.schema(files.MANIFEST).json(str(tmp_path / "manifest"))
+    made = [("cmajor/clean", "C4 D4 E4 F4 G4 A4 B4 C5", 1, 4, 8, 0.79, 0.7, 1), ("cmajor/blur", "C4 D4 E4 F4 G4 A4 B4 C9", 0, 4, 8, 0.7, 0.3, 3), ("triad/clean", "C4", 0, 0, None, None, None, None)]
+    made = spark.createDataFrame([(i, t.split(" "), *r, "") for i, t, *r in made] + [("triad/blur", None, *[None] * 6, "x" * 90)], "image string, tokens array<string>, bad int, total int, head_count int, mean_ctx double, min_ctx double, weak int, note string")
+    sinks.write_rows(calibrate.collected(manifest, made), str(tmp_path / "dataset"))
+    rows = {r.image: r for r in files.dataset(spark, str(tmp_path / "dataset")).collect()}
+    assert len(rows) == 14 and sum(r.audiveris_ok for r in rows.values()) == 3
+    one, two, three, none = (rows[k] for k in ("cmajor/clean", "cmajor/blur", "triad/clean", "triad/blur"))
+    assert (one.agreement, one.should_accept, one.features.measures_bad_frac, one.features.weak_frac, one.features.wild_frac) == (1.0, True, 0.25, 0.125, 0.0)
+    assert (two.agreement, two.should_accept, two.features.wild_frac) == (0.875, True, round(1 / 7, 3))
+    assert (three.agreement, three.features.mean_ctx, three.features.head_count) == (round(1 / 7, 3), None, None)
+    assert (none.agreement, none.features, none.note, none.notes) == (0.0, None, "x" * 80, [])
+    graded = calibrate.graded(files.dataset(spark, str(tmp_path / "dataset")))
+    assert sorted(r.mean_ctx for r in graded.collect()) == [0.7, 0.79]  # reads without grades do not calibrate
+    sinks.write_params(calibrate.calibrated(graded), str(tmp_path / "params"))
+    found = gate.thresholds(files.gate_candidates(spark, [str(tmp_path / "none"), str(tmp_path / "params")])).first()
+    assert found.ctx_mean_min == 0.0 and found.measure_bad_fraction == 0.25 and found.source.startswith("calibrated")
+
+
+def test_uploads(spark):
+    rows = [("a.PNG", b"x"), ("b", b"x"), ("c.exe", b"x"), ("d.pdf", b""), ("e.pdf", b"12345"), (None, None)]
+    found = [r.error for r in uploads.checked(spark.createDataFrame(rows, "name string, content binary"), most=4).collect()]
+    assert found[0] is None and found[1].startswith("Unsupported file type (none); expected one of .bmp, ") and found[2].startswith("Unsupported file type .exe;")
+    assert found[3] == found[5] == uploads.NO_FILE and found[4] == "Upload too large (max 0 MB)"
+
+
+def test_reader_program(spark, tmp_path):
+    """A read is good if a score is there, whatever the program returns; a program that hangs is stopped."""
+    program = tmp_path / "reader.py"
+    program.write_text(
+        "import sys, time, pathlib\n"
+        "data = pathlib.Path(sys.argv[1]).read_text()\n"
+        "if data == 'hang': time.sleep(60)\n"
+        "if data != 'none': pathlib.Path(sys.argv[2], 'made.xml').write_text('<' + data + '/>')\n"
+        "sys.exit(data if data == 'none' else 3)\n"
+    )
+    df = spark.createDataFrame([(k, f"{k}.png", k.encode()) for k in ("good", "none", "hang")], "image string, name string, content binary").repartition(3)
+    command = [sys.executable, str(program)]
+    rows = {r.image: r for r in uploads.read_by(df, command, timeout=5).collect()}
+    assert rows["good"].musicxml == "<good/>" and rows["good"].note is None and rows["good"].heads == []
+    assert rows["none"].musicxml is None and rows["none"].note == "none" and "5 s" in rows["hang"].note
+    assert uploads.available(command) and not uploads.available(["no-such-program"])
+
+
+def test_clefs(spark):
+    assert column(spark, ["bass", "alto", None], "string", P.parsed_clef) == ["bass", "alto", None]
+    with pytest.raises(Exception, match="Unknown clef: tenor"):
+        column(spark, ["tenor"], "string", P.parsed_clef)
+    assert column(spark, ["bass", "tenor"], "string", P.clef_or_treble) == ["bass", "treble"]
+    assert column(spark, ["bass", "alto"], "string", P.part_name) == ["Cello", "Converted Part"]
+    assert json.loads(column(spark, ["x"], "string", lambda x: sinks.answer(x.alias("a"), F.lit(None).cast("string").alias("b")))[0]) == {"a": "x", "b": None}
+
+
+def test_leaps_of_long_reads(spark):
+    """Counting leaps takes time in proportion to the notes."""
+    import time
+
+    tokens = ["C4", "C7"] * 4000
+    began = time.perf_counter()
+    row = spark.createDataFrame([(tokens,)], "t array<string>").select(gate.leap_counts(gate.midi_array(F.col("t"))).alias("c")).first()
+    assert (row.c.leaps, row.c.wide) == (7999, 7999) and time.perf_counter() - began < 15

@@ -1,5 +1,6 @@
 """Page reading and signal operators against plain models and drawn pages."""
 
+import json
 import random
 
 import numpy as np
@@ -60,6 +61,44 @@ def test_rasters(spark, tmp_path):
 
     rows = detect.pages_read(files.rasters(spark, str(tmp_path))).orderBy(F.desc("success")).collect()
     assert rows[0].note_count == 5 and not rows[1].success and rows[1].reason.startswith("Could not open image")
+    assert abs(rows[0].spacing - 30) < 1.5  # read from the enlarged image
+    assert [m.token for m in rows[0].accepted] == rows[0].notes and all(m.score >= signal.ACCEPT for m in rows[0].accepted)
+    found = detect.pages_read(files.rasters(spark, str(tmp_path)))
+    assert detect.rejected_marks(found).count() == sum(len(r.rejected) for r in rows)
+    told = {json.loads(r.report)["success"]: json.loads(r.report) for r in detect.report(found).collect()}
+    assert told[True]["notes"] == rows[0].notes and told[False]["notes"] == []
+
+
+def test_enlarged():
+    """A windowed sinc keeps flat areas and smooth waves, and leaves wide images alone."""
+    flat = np.full((40, 60), 77, np.uint8)
+    assert (detect.enlarged(flat, 90) == 77).all() and detect.enlarged(flat, 90).shape == (60, 90)
+    wave = lambda n, at: 128 + 100 * np.sin(at / n * 2 * np.pi * 3)
+    small = np.tile(wave(200, np.arange(200) + 0.5), (30, 1)).round().astype(np.uint8)
+    big = detect.enlarged(small, 500)
+    assert np.abs(big[20, 20:-20].astype(float) - wave(500, np.arange(500) + 0.5)[20:-20]).max() < 3
+    assert detect.enlarged(flat, 60) is flat
+
+
+def test_labelled_by_flooding():
+    rng = np.random.default_rng(9)
+    for share in (0.3, 0.5, 0.6, 0.9):
+        mask = rng.random((40, 50)) < share
+        number, want = 0, np.zeros(mask.shape, int)
+        for y, x in zip(*np.nonzero(mask), strict=True):
+            if not want[y, x]:
+                number += 1
+                todo = [(y, x)]
+                while todo:
+                    a, b = todo.pop()
+                    if 0 <= a < 40 and 0 <= b < 50 and mask[a, b] and not want[a, b]:
+                        want[a, b] = number
+                        todo += [(a - 1, b), (a + 1, b), (a, b - 1), (a, b + 1)]
+        got = np.full(mask.shape, -1)
+        for y, a, b, k in zip(*detect.labelled(mask), strict=True):
+            got[y, a:b] = k
+        assert (got >= 0).tolist() == mask.tolist()
+        assert len({(int(i), int(j)) for i, j in zip(got[mask], want[mask], strict=True)}) == number == len(set(got[mask].tolist()))
 
 
 def test_suppressed(spark):
