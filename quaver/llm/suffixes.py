@@ -8,11 +8,12 @@ Positions of documents are UTF-8 bytes. A string of ``width`` bytes is removed w
 2. *Leading bytes.* A suffix is dealt by its leading bytes (three of them, then a digest of the first ``LEAD``) over
    splitters sampled from the corpus. Splitters are pairs (leading bytes, text), so the suffixes of one hot string are
    split over buckets. Buckets are sorted (spilling); suffixes alone with their leading bytes drop out.
-3. *Contexts.* The others fetch the bytes around them. They are range-partitioned and sorted again by leading bytes and
-   context; a context equal to its predecessor's is a repeat as a whole. Suffixes whose leading bytes meet in several
-   contexts are compared at each offset, within the bucket where the group is whole. Of groups that a bucket boundary
-   cuts (all hot groups are) each part sends the windows that it holds first, each offset its own suffix, through one
-   more range partition, where they are compared across boundaries.
+3. *Contexts.* The others fetch the bytes around them and are dealt again, by splitters sampled from contexts. In its
+   bucket each group of equal leading bytes is sorted by multikey quicksort, on the bytes from the suffix's start on and
+   then on those before it; a context equal to its predecessor's is a repeat as a whole. Suffixes whose leading bytes
+   meet in several contexts are compared at each offset, within the bucket where the group is whole. Of groups that a
+   bucket boundary cuts (all hot groups are) each part sends the windows that it holds first, each offset its own suffix,
+   through one more range partition, where they are compared across boundaries.
 4. Repeats become byte intervals, dealt to their documents.
 """
 
@@ -32,6 +33,8 @@ WIDTH = 100
 LEAD, GRAM = 40, 8
 #: Suffixes sampled for each bucket's splitter.
 SAMPLED_PER_BUCKET = 60
+#: Texts whose digests clash, of which a handful is expected at any size.
+MOST_CLASHES = 10_000
 _CHUNK = 1 << 21
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = np.uint64(0x100000001B3)
@@ -162,8 +165,8 @@ def _record(text, pos):
     return pa.RecordBatch.from_arrays([pa.array(text), pa.array(pos)], ["text_id", "pos"])
 
 
-def _context_batches(width: int):
-    """(doc_id, data, spots, text_id) to the bytes around each spot, with what the array sorts by."""
+def _context_batches(width: int, splits=None):
+    """(doc, data, spots, text_id) to key and text_id of each spot; with splitters also its bucket, place and bytes around."""
     reach = width - LEAD
 
     def run(batches):
@@ -172,42 +175,44 @@ def _context_batches(width: int):
             for i in range(batch.num_rows):
                 data = np.frombuffer(batch.column(1)[i].as_buffer(), dtype=np.uint8)
                 at = np.asarray(spots[i].values).astype(np.int64)
-                left, right = np.minimum(at, reach), np.minimum(len(data) - at, width)
                 lead = np.zeros(len(at), dtype="<u8")
                 words = _words(data)
                 for k in range(0, LEAD, 8):
                     lead = _mix(lead ^ words[at + k])
-                key = (words[at] >> np.uint64(40) << np.uint64(40)) | (lead >> np.uint64(24))
-                raw = data.tobytes()
-                context = [raw[a - l : a + r] for a, l, r in zip(at, left, right, strict=True)]
-                digest = [int.from_bytes(hashlib.blake2b(b"%d " % l + x, digest_size=8).digest(), "little", signed=True) for l, x in zip(left, context, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view("<i8")), pa.array(digest, pa.int64()), pa.array([docs[i].as_py()] * len(at), pa.int64()), pa.array([texts[i].as_py()] * len(at), pa.int64()), pa.array(at.astype("<i4")), pa.array(left.astype("<i2")), pa.array(context, pa.binary())],
-                    ["key", "digest", "doc", "text_id", "pos", "lft", "context"],
-                )
+                key = ((words[at] >> np.uint64(40) << np.uint64(40)) | (lead >> np.uint64(24))).view("<i8")
+                text = np.full(len(at), texts[i].as_py(), dtype="<i8")
+                out = {"key": pa.array(key), "text_id": pa.array(text)}
+                if splits is not None:
+                    left, right = np.minimum(at, reach), np.minimum(len(data) - at, width)
+                    raw = data.tobytes()
+                    context = [raw[a - l : a + r] for a, l, r in zip(at, left, right, strict=True)]
+                    out |= {"bucket": pa.array(bucket(key, text, *splits).astype("<i4")), "doc": pa.array(np.full(len(at), docs[i].as_py(), dtype="<i8"))}
+                    out |= {"pos": pa.array(at.astype("<i4")), "lft": pa.array(left.astype("<i2")), "context": pa.array(context, pa.binary())}
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
 
 
-def multikey_order(rows: np.ndarray) -> np.ndarray:
-    """Order of the rows (bytes, equally long) by multikey quicksort, eight bytes a key.
+def multikey_order(rows: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows (bytes, equally long) by multikey quicksort, eight bytes a key, and the class of each in it.
 
-    Rows are split by one key at a time, and only those that tie on it are split by the next one.
+    Rows are split by one key at a time, and only those that tie on it are split by the next one. Equal rows stay in
+    their order and are one class. Rows that are sorted into groups before are sorted within these.
     """
-    words = rows.reshape(len(rows), -1, 8).view(">u8")[:, :, 0].astype("<u8")
-    order = np.argsort(words[:, 0], kind="stable")
-    group = np.cumsum(np.concatenate([[0], np.diff(words[order, 0]) != 0]))
-    for depth in range(1, words.shape[1]):
-        tied = np.bincount(group)[group] > 1
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), dtype=np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    words = padded.reshape(len(rows), -1, 8).view(">u8")[:, :, 0].astype("<u8")
+    order = np.arange(len(rows))
+    group = np.zeros(len(rows), dtype=np.int64) if group is None else group.copy()
+    for depth in range(words.shape[1]):
+        tied = np.bincount(group)[group] > 1 if len(group) else np.empty(0, dtype=bool)
         if not tied.any():
             break
         part, of = order[tied], group[tied]
-        deeper = np.lexsort((words[part, depth], of))
-        order[tied] = part[deeper]
+        order[tied] = part[np.lexsort((words[part, depth], of))]
         value = words[order, depth]
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | ((value[1:] != value[:-1]) & tied[1:] & tied[:-1])])
-        group = np.cumsum(new) - 1
-    return order
+        group = np.cumsum(np.concatenate([[True], (group[1:] != group[:-1]) | ((value[1:] != value[:-1]) & tied[1:] & tied[:-1])])) - 1
+    return order, group
 
 
 def _repeats(context: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.ndarray, width: int):
@@ -231,10 +236,8 @@ def _repeats(context: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.
             window = context[:, start : start + width]
             equal = (window[order[same]] == window[order[same - 1]]).all(axis=1)
             if not equal.all():  # digests collide: order by the bytes themselves
-                padded = np.zeros((len(order), -(-width // 8) * 8), dtype=np.uint8)
                 by_rank = valid[np.argsort(rank[valid])]
-                padded[:, :width] = window[by_rank]
-                order = by_rank[multikey_order(padded)]
+                order = by_rank[multikey_order(window[by_rank])[0]]
                 same = np.flatnonzero((window[order[1:]] == window[order[:-1]]).all(axis=1)) + 1
             rows.append(order[same])
             offsets.append(np.full(len(same), offset))
@@ -256,10 +259,13 @@ def _array_batches(width: int):
         )
 
     def aligned(context, left):
-        out = np.zeros((len(context), reach + width), dtype=np.uint8)
-        for i, (x, l) in enumerate(zip(context, left, strict=True)):
-            out[i, reach - l : reach - l + len(x)] = np.frombuffer(x, dtype=np.uint8)
-        return out
+        """The contexts as rows of bytes, those before the anchor in the first columns; beyond a text's ends: zeros."""
+        size = np.array([len(x) for x in context], dtype=np.int64)
+        data = np.frombuffer(b"".join(context) + b"\0", dtype=np.uint8)
+        begin = np.cumsum(size) - size
+        at = np.arange(reach + width) - (reach - left)[:, None]
+        inside = (at >= 0) & (at < size[:, None])
+        return np.where(inside, data[np.where(inside, begin[:, None] + at, 0)], 0).astype(np.uint8)
 
     def windows(doc, text, pos, left, context):
         """Of a part of a group: windows that repeat within the part, as intervals; of the others, each window's digest."""
@@ -306,35 +312,36 @@ def _array_batches(width: int):
         return row, offset
 
     def run(batches):
-        held, started = None, False
-
-        def sift(key, digest, doc, text, pos, left, context):
-            """Splits rows of whole keys into repeats as a whole and representatives."""
-            same = np.concatenate([[False], (key[1:] == key[:-1]) & (digest[1:] == digest[:-1])])
-            for i in np.flatnonzero(same):
-                if context[i] != context[i - 1]:
-                    same[i] = False
-            return same
-
+        held, started, last = None, False, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [np.asarray(batch.column(i)) for i in range(6)] + [np.array(batch.column(6).to_pylist() + [None], dtype=object)[:-1]]
+            rows = [np.asarray(batch.column(i)) for i in range(5)] + [np.array(batch.column(5).to_pylist() + [None], dtype=object)[:-1]]
+            fresh = np.ones(len(rows[0]), dtype=bool)  # a repeated row gives each of its suffixes again
+            fresh[1:] = np.any([r[1:] != r[:-1] for r in rows[:4]], axis=0)
+            fresh[0] = last != [r[0] for r in rows[:4]]
+            last = [r[-1] for r in rows[:4]]
+            if not fresh.any():
+                continue
+            rows = [r[fresh] for r in rows]
             if held is not None:
                 rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
-            again = np.ones(len(rows[0]), dtype=bool)  # a repeated row gives each of its suffixes again
-            again[1:] = np.any([r[1:] != r[:-1] for r in rows[:5]], axis=0)
-            rows = [r[again] for r in rows]
-            same = sift(*rows)
+            # What is held comes first and is earlier, so that of equal contexts the first one is the earliest.
+            part, left = aligned(rows[5], rows[4].astype("<i8")), rows[4].astype("<u2")
+            size = np.array([len(x) for x in rows[5]], dtype="<u2")
+            lengths = np.stack([left, size], axis=1).view(np.uint8).reshape(len(left), -1)
+            groups = np.cumsum(np.concatenate([[0], rows[0][1:] != rows[0][:-1]]))
+            order, classes = multikey_order(np.concatenate([part[:, reach:], part[:, :reach], lengths], axis=1), groups)
+            rows = [r[order] for r in rows]
+            same = np.concatenate([[False], classes[1:] == classes[:-1]])
             if same.any():
-                size = np.array([len(x) for x in rows[6][same]])
-                yield whole(rows[2][same], rows[3][same], rows[4][same].astype("<i8"), rows[5][same].astype("<i8"), size)
+                yield whole(rows[1][same], rows[2][same], rows[3][same].astype("<i8"), rows[4][same].astype("<i8"), size[order][same].astype("<i8"))
             rows = [r[~same] for r in rows]
             key = rows[0]
             body = key != key[-1]
             if not started and body.any():
                 cut = key == key[0]
-                yield from windows(*[r[cut] for r in rows[2:]])
+                yield from windows(*[r[cut] for r in rows[1:]])
                 started, body = True, body & ~cut
             if body.any():
                 inner = [r[body] for r in rows]
@@ -342,13 +349,13 @@ def _array_batches(width: int):
                 many[:-1] |= many[1:]
                 if many.any():
                     inner = [r[many] for r in inner]
-                    yield from repeats(inner[2], inner[3], inner[4].astype("<i8"), inner[5].astype("<i8"), inner[6])
+                    yield from repeats(inner[1], inner[2], inner[3].astype("<i8"), inner[4].astype("<i8"), inner[5])
             held = [r[key == key[-1]] for r in rows]
             if not started and len(held[0]) > 20_000:  # a hot key that began before this bucket: nothing to wait for
-                yield from windows(*held[2:])
+                yield from windows(*held[1:])
                 held = [h[-1:] for h in held]
         if held is not None:
-            yield from windows(*held[2:])
+            yield from windows(*held[1:])
 
     return run
 
@@ -424,28 +431,28 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
+    id_, least = F.col("doc_id").cast("long"), -(1 << 63) + 1
     narrow = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
+        id_.alias("id"), F.coalesce(F.greatest(id_, F.lit(least)) - 1, F.lit((1 << 63) - 1)).alias("doc"),  # one less, so that none is as large as what stands for null
         F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("data"),
-    ).withColumn("text_id", F.xxhash64("data"))
-    classes = narrow.groupBy("text_id").agg(F.min("doc").alias("doc"), F.min(F.unhex(F.sha2("data", 256))).alias("a"), F.max(F.unhex(F.sha2("data", 256))).alias("b"))
-    classes = materialize(classes.select("text_id", "doc", (F.col("a") != F.col("b")).alias("clash")), "texts")
-    if classes.where("clash").limit(1).count():
-        raise ValueError("two texts share a 64-bit digest; give the operator other digests")
-    classes = classes.select("text_id", "doc")
+    )
+    narrow, classes = _told_apart(narrow)
 
     sorted_ = _dealt(narrow.select("text_id", "data"), width).sortWithinPartitions("key", "text_id", "pos")
     found = sorted_.select("key", "text_id", "pos").mapInArrow(_candidate_batches, "text_id long, pos int")
-    spots = found.groupBy("text_id").agg(F.array_sort(F.collect_set("pos")).alias("spots")).join(classes, "text_id")
+    spots = found.groupBy("text_id").agg(F.array_sort(F.collect_set("pos")).alias("spots")).join(classes.select("text_id", "doc"), "text_id")
     spots = materialize(spots, "spots")
-    texts = narrow.select("doc", "data", "text_id")
-    around = (
-        texts.select("doc", "data", "text_id").join(spots.select("doc", F.col("text_id").alias("of"), "spots"), "doc").where("text_id = of")
-        .select("doc", "data", "spots", "text_id")
-        .mapInArrow(_context_batches(width), "key long, digest long, doc long, text_id long, pos int, lft short, context binary")
-    )
+    texts = narrow.select("id", "doc", "data", "text_id")
+    of = spots.select("doc", F.col("text_id").alias("of"), "spots")
+
+    def contexts(chosen: DataFrame, splits, columns: str) -> DataFrame:
+        found = chosen.join(of, (chosen.doc == of.doc) & (chosen.text_id == F.col("of"))).select(chosen.doc, "data", "spots", "text_id")
+        return found.mapInArrow(_context_batches(width, splits), columns)
+
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    around = around.repartitionByRange(parts, "key", "digest", "doc", "text_id", "pos").sortWithinPartitions("key", "digest", "doc", "text_id", "pos")
+    splits = _splitters(texts, lambda some: contexts(some, None, "key long, text_id long"), spots.count(), parts)
+    around = contexts(texts, splits, "key long, text_id long, bucket int, doc long, pos int, lft short, context binary")
+    around = around.repartitionById(parts, "bucket").sortWithinPartitions("key", "doc", "text_id", "pos").select("key", "doc", "text_id", "pos", "lft", "context")
     split = materialize(around.mapInArrow(_array_batches(width), "kind int, doc long, text_id long, start long, stop long, high long, low long"), "repeats")
 
     windows = split.where("kind = 1").select("high", "low", "doc", "text_id", "start")
@@ -458,31 +465,50 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         .union(told.where("kind = 0").unionByName(cut.select(told.columns)).select("doc", "text_id", "start", (F.col("start") + width).alias("stop")))
         .groupBy("doc", "text_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     )
-    first = classes.join(spans, ["doc", "text_id"], "left").select(F.col("text_id").alias("of"), F.col("doc").alias("at"), "spans")
+    first = classes.join(spans, ["doc", "text_id"], "left").select(F.col("text_id").alias("of"), F.col("doc").alias("at"), F.col("id").alias("of_id"), "spans")
     whole = (
-        texts.join(first, (texts.doc == first["at"]) & (texts.text_id == first["of"]), "left")
-        .select(F.when(F.col("doc") != F.lit((1 << 63) - 1), F.col("doc")).alias("doc_id"), "data", F.col("at").isNotNull().alias("is_first"), "spans")
+        texts.join(first, (texts.doc == first["at"]) & (texts.text_id == first["of"]) & texts.id.eqNullSafe(first["of_id"]), "left")
+        .select(F.col("id").alias("doc_id"), "data", F.col("at").isNotNull().alias("is_first"), "spans")
     )
     return whole.mapInArrow(_removal_batches(width), "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept_sha256 string")
 
 
+def _told_apart(narrow: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """narrow (id, doc, data) with text_id, a 64-bit digest of the text, and (text_id, doc, id) of the first row of each text.
+
+    Texts are held to be equal by 128 bits. Different texts that share the first 64 (a few of ten thousand million do) get
+    other digests, until no two have the same.
+    """
+    text_id, check, others = F.xxhash64("data"), F.xxhash64(F.lit("again"), "data"), []
+    while True:
+        rows = narrow.withColumn("text_id", text_id)
+        classes = rows.groupBy("text_id").agg(F.min("doc").alias("doc"), F.min("id").alias("id"), F.min(check).alias("a"), F.max(check).alias("b"))
+        classes = materialize(classes.select("text_id", "doc", "id", (F.col("a") != F.col("b")).alias("clash")), "texts")
+        clash = [r.text_id for r in classes.where("clash").select("text_id").limit(1 + MOST_CLASHES).collect()]
+        if not clash:
+            return rows, classes.select("text_id", "doc", "id")
+        if len(clash) > MOST_CLASHES:
+            raise ValueError("digests of texts are not spread as digests are")
+        others.append(len(others))
+        text_id = F.when(text_id.isin(clash), F.xxhash64(F.lit(len(others)), F.lit("other"), "data")).otherwise(text_id)
+
+
+def _splitters(texts: DataFrame, suffixes, rows: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Splitters (key, text_id) for the suffixes (key, text_id, ...) of texts, from those of a sample of the texts."""
+    wanted = parts * SAMPLED_PER_BUCKET
+    share = max(1, rows * 20 // wanted)  # each text gives many
+    sample = suffixes(texts.where(F.pmod(F.col("text_id"), F.lit(share)) == 0))
+    drawn = sample.select("key", "text_id").withColumn("draw", F.xxhash64("key", "text_id", F.rand(5))).orderBy("draw").limit(wanted).collect()
+    drawn = sorted((r.key, r.text_id) for r in drawn)
+    splits = [drawn[len(drawn) * i // parts] for i in range(1, parts)] if drawn else []
+    return np.array([k for k, _ in splits], dtype="<i8"), np.array([t for _, t in splits], dtype="<i8")
+
+
 def _dealt(texts: DataFrame, width: int) -> DataFrame:
     """Anchors of (text_id, data), dealt to buckets between sampled splitters."""
-    spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = parts * SAMPLED_PER_BUCKET
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = "key long, text_id long, pos int"
-    rows = max(1, texts.count())
-    share = max(1, rows * 20 // wanted)  # each text gives many anchors
-    sample = (
-        texts.where(F.pmod(F.col("text_id"), F.lit(share)) == 0)
-        .mapInArrow(_anchor_batches(width), columns)
-        .select("key", "text_id", F.xxhash64("key", "text_id", "pos").alias("draw"))
-        .orderBy("draw").limit(wanted)
-    )
-    drawn = sorted((r.key, r.text_id) for r in sample.collect())
-    splits = [drawn[len(drawn) * i // parts] for i in range(1, parts)] if drawn else []
-    splits = (np.array([k for k, _ in splits], dtype="<i8"), np.array([t for _, t in splits], dtype="<i8"))
+    splits = _splitters(texts, lambda some: some.mapInArrow(_anchor_batches(width), columns), texts.count(), parts)
     return texts.mapInArrow(_anchor_batches(width, splits), columns + ", bucket int").repartitionById(parts, "bucket")
 
 
