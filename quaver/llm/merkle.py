@@ -33,24 +33,33 @@ def root(sections: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("/", F.transform(sections, lambda s: F.hex(s["digest"]))), 256), 1, 32)
 
 
-def fingerprint(sections: Column) -> Column:
-    """root ':' then each section as 16 digits, '.', and its paragraphs' digits; sections are set apart by '/'."""
-    parts = F.transform(
+def branches(sections: Column) -> Column:
+    """array<string>: of each section its digest as 16 digits, '.', and its paragraphs' digits."""
+    return F.transform(
         sections,
-        lambda s: F.concat(
-            F.lpad(F.hex(s["digest"]), 16, "0"), F.lit("."), F.array_join(F.transform(s["leaves"], lambda x: F.lpad(F.hex(x), DIGITS, "0")), "")
-        ),
+        lambda s: F.lower(F.concat(F.lpad(F.hex(s["digest"]), 16, "0"), F.lit("."), F.array_join(F.transform(s["leaves"], lambda x: F.lpad(F.hex(x), DIGITS, "0")), ""))),
     )
-    return F.lower(F.concat(F.upper(root(sections)), F.lit(":"), F.array_join(parts, "/")))
+
+
+def fingerprint(sections: Column) -> Column:
+    """root ':' then the branches, set apart by '/'."""
+    return F.concat(root(sections), F.lit(":"), F.array_join(branches(sections), "/"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of paragraphs that two trees have in common (0 to 1): twice the common ones by all; equal sections give 1."""
-    one, two = (F.array_distinct(F.flatten(F.transform(t, lambda s: s["leaves"]))) for t in (a, b))
-    both = F.size(one) + F.size(two)
-    shared = 2.0 * F.size(F.array_intersect(one, two)) / both
-    same = F.transform(a, lambda s: s["digest"]) == F.transform(b, lambda s: s["digest"])
-    return F.when(same, F.lit(1.0)).when(both > 0, shared).otherwise(F.lit(0.0))
+    """Share of paragraphs that two trees have in common (0 to 1), of their branches(), from the roots down.
+
+    Equal roots give 1. Sections that both have count with all their paragraphs and are not looked into; only of the
+    sections that differ paragraphs are compared, as sets. Trees that differ and have no paragraphs give 0.
+    """
+
+    def leaves(sections: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(sections, lambda s: F.regexp_extract_all(F.substring(s, F.lit(18), F.length(s)), F.lit(f".{{{DIGITS}}}"), F.lit(0)))))
+
+    one, two = leaves(F.array_except(a, b)), leaves(F.array_except(b, a))
+    whole = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, s: n + F.floor((F.length(s) - 17) / DIGITS).cast("int"))
+    shared, both = whole + F.size(F.array_intersect(one, two)), 2 * whole + F.size(one) + F.size(two)
+    return F.when(a == b, 1.0).otherwise(F.coalesce(F.try_divide(2.0 * shared, both), F.lit(0.0)))
 
 
 def edits(a: Column, b: Column) -> Column:
@@ -124,16 +133,18 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - F.col("cut")), F.substring(F.col("next_text"), F.lit(1), F.col("cut")))
     rows = rows.withColumn("edited", edited)
     rows = rows.select("doc_id", "n", "tree", "next_tree", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("edited")).alias("edited_tree"))
+    trees = {"of": "tree", "edited_of": "edited_tree", "next_of": "next_tree"}
+    rows = rows.select("*", *[branches(F.col(t)).alias(name) for name, t in trees.items()])
     return rows.select(
         "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256",
         fingerprint(F.col("tree")).alias("fingerprint"), fingerprint(F.col("edited_tree")).alias("edited_fingerprint"),
-        likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"), likeness(F.col("tree"), F.col("next_tree")).alias("near_next"),
+        likeness(F.col("of"), F.col("edited_of")).alias("near_edited"), likeness(F.col("of"), F.col("next_of")).alias("near_next"),
         edits(F.col("edited_tree"), F.col("tree")).alias("edits"),
     )
 
 
 def query(spark, sf_dir):
-    """op6: fingerprints of every document and of its edited text, and how near they are."""
+    """op6: fingerprints of every document and of its edited text, how near they are, and which branches the edit changed."""
     from quaver.llm.common import table
 
-    return fingerprinted(table(spark, sf_dir, "documents", "doc_id", "text")).drop("edits")
+    return fingerprinted(table(spark, sf_dir, "documents", "doc_id", "text"))

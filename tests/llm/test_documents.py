@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -146,8 +148,9 @@ def test_suffixes_of_repeated_ids(spark, parts):
     made += [(None, shared + "same start " + prose(rng, 30)), (None, shared + "same start, other end " + prose(rng, 30))]
     made += [(None if i % 2 else 11, prose(rng, 3) + hot) for i in range(40)]
     made += [(5, made[4][1]), made[0]]
+    made += [((1 << 63) - 1, "ab"), ((1 << 63) - 1, prose(rng, 9) + hot), ((1 << 63) - 1, made[6][1])]
     df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
-    last = (1 << 63) - 1
+    last = 1 << 63
     names = {(last if i is None else i, hash_of(t or "")): t for i, t in made}
     spans = brute_spans([(k, names[k]) for k in sorted(names)])
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -179,7 +182,39 @@ def test_multikey_order():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2, (500, 24)).astype(np.uint8)
     x[100:200] = x[0]
-    assert [bytes(r) for r in x[suffixes.multikey_order(x)]] == sorted(bytes(r) for r in x)
+    order, classes = suffixes.multikey_order(x)
+    assert [bytes(r) for r in x[order]] == sorted(bytes(r) for r in x)
+    assert [int(c) for c in classes] == [sorted({bytes(r) for r in x}).index(bytes(r)) for r in x[order]]
+    assert all(a < b for a, b, c, d in zip(order, order[1:], classes, classes[1:], strict=False) if c == d)
+    groups_ = np.repeat([0, 1, 2], [100, 300, 100])
+    order, _ = suffixes.multikey_order(x, groups_)
+    assert [bytes(r) for r in x[order]] == [y for a, b in ((0, 100), (100, 400), (400, 500)) for y in sorted(bytes(r) for r in x[a:b])]
+
+
+def test_buckets_are_sorted_by_multikey_quicksort(monkeypatch):
+    """Without it nothing comes out of a bucket."""
+    monkeypatch.setattr(suffixes, "multikey_order", None)
+    batch = next(iter(suffixes._context_batches(100, (suffixes.np.empty(0, "<i8"), suffixes.np.empty(0, "<i8")))([_context_row(b"x" * 300, [5, 150])])))
+    with pytest.raises(TypeError):
+        list(suffixes._array_batches(100)([batch.select(["key", "doc", "text_id", "pos", "lft", "context"])]))
+
+
+def _context_row(data, spots):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([data], pa.binary()), pa.array([spots], pa.list_(pa.int32())), pa.array([7], pa.int64())], ["doc", "data", "spots", "text_id"])
+
+
+def test_clashing_digests(spark, monkeypatch):
+    """Texts that share their first digest are told apart, and lose what they should."""
+    rng = random.Random(21)
+    shared = prose(rng, 40)
+    made = [(i, f"{prose(rng, 10)} {shared} {prose(rng, 10)}") for i in range(6)] + [(9, prose(rng, 50))]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    real = F.xxhash64
+    monkeypatch.setattr(suffixes.F, "xxhash64", lambda *c: F.lit(77).cast("long") if c == ("data",) else real(*c))
+    found = {r.doc_id: (r.n_bytes, sum(s["stop"] - s["start"] for s in r.spans), len(r.spans), r.kept_sha256) for r in suffixes.repeated_spans(df).collect()}
+    assert found == brute_spans(made)
 
 
 def brute_targets(sizes):
@@ -258,16 +293,43 @@ def test_hilbert_key_is_a_walk():
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
+def brute_tree(text):
+    """Sections as the tuples of their paragraphs."""
+    return [tuple(re.findall(r"[^.!?]{1,40}[.!?]*|[.!?]+", s, re.S)) for s in text.split("\n")]
+
+
+def brute_likeness(a, b):
+    a, b = brute_tree(a), brute_tree(b)
+    if a == b:
+        return 1.0
+    same = set(a) & set(b)
+    one, two = ({p for s in set(t) - same for p in s} for t in (a, b))
+    shared, both = sum(map(len, same)), sum(map(len, same)) * 2 + len(one) + len(two)
+    return 2 * (shared + len(one & two)) / both if both else 0.0
+
+
+def brute_edits(a, b):
+    """Sections of a, and paragraphs in them, that are not those of the same number in b."""
+    a, b = brute_tree(a), brute_tree(b)
+    out = []
+    for i, s in enumerate(a):
+        other = b[i] if i < len(b) else None
+        if s != other:
+            out.append((i, [k for k, p in enumerate(s) if other is None or k >= len(other) or other[k] != p]))
+    return out
+
+
 def test_merkle(docs, rows, empty):
     found = merkle.fingerprinted(docs).collect()
     order = sorted((r[0], r[1] or "") for r in rows)
     assert len(found) == len(rows)
     want = Counter()
     for k, (i, text) in enumerate(order):
-        cut = len(text) // 4
-        edited = text[: len(text) - cut] + order[(k + 1) % len(order)][1][:cut]
-        want[(i, len(text), hashlib.sha256(edited.encode()).hexdigest())] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in found) == want
+        cut, after = len(text) // 4, order[(k + 1) % len(order)][1]
+        edited = text[: len(text) - cut] + after[:cut]
+        near = round(brute_likeness(text, edited), 9), round(brute_likeness(text, after), 9)
+        want[(i, len(text), hashlib.sha256(edited.encode()).hexdigest(), *near, str(brute_edits(edited, text)))] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9), str([(e.section, e.paragraphs) for e in r.edits])) for r in found) == want
     by_text = defaultdict(set)
     for r in found:
         by_text[dict(order)[r.doc_id]].add(r.fingerprint)
