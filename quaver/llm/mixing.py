@@ -88,7 +88,8 @@ def _threshold(rows: DataFrame, budget: DataFrame, sources: int) -> DataFrame:
             .alias("edge"),
             (F.col("left") - F.coalesce("spent", F.lit(0))).alias("left"),
         )
-        state = materialize(state, "threshold")
+        before, state = state, materialize(state, "threshold")
+        discard(before)
     return state
 
 
@@ -117,8 +118,11 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, keep: tuple[str, ...
         room = F.lit(cap) > copies
         once = ~_once(i) if i < NESTED else F.lit(True)
         fits = _with_source(rows, edges, sources).where(room & once & (F.col("size") <= F.col("left"))).select("skey", "u", "size")
-        found = _threshold(fits, edges.select("skey", "left"), sources).select("skey", F.col("edge").alias(f"edge{i}"), F.col("left").alias("next"))
-        edges = materialize(edges.join(found, "skey").withColumnRenamed("left", f"left{i}").withColumnRenamed("next", "left"), "edges")
+        met = _threshold(fits, edges.select("skey", "left"), sources)
+        found = met.select("skey", F.col("edge").alias(f"edge{i}"), F.col("left").alias("next"))
+        before, edges = edges, materialize(edges.join(found, "skey").withColumnRenamed("left", f"left{i}").withColumnRenamed("next", "left"), "edges")
+        discard(before)
+        discard(met)
     near = _with_source(rows, edges, sources).where((F.lit(cap) > F.col("full") + _copies(NESTED + EXTRA)) & (F.col("size") < 2 * F.col("left")))
     last = near.groupBy("skey").agg(F.min(F.struct("size", "u")).alias("last"))
     state = targets.drop("source", "full").join(edges.join(last, "skey", "left"), "skey")

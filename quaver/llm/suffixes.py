@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import materialize, small_batches
+from quaver.llm.common import discard, materialize, small_batches
 
 WIDTH = 100
 #: Bytes that a suffix in the array is first compared by, and the k-gram that elects anchors.
@@ -455,6 +455,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     around = around.repartitionById(parts, "bucket").sortWithinPartitions("key", "doc", "text_id", "pos").select("key", "doc", "text_id", "pos", "lft", "context")
     split = materialize(around.mapInArrow(_array_batches(width), "kind int, doc long, text_id long, start long, stop long, high long, low long"), "repeats")
 
+    discard(spots)
     windows = split.where("kind = 1").select("high", "low", "doc", "text_id", "start")
     windows = windows.repartitionByRange(parts, "high", "low", "doc", "text_id", "start").sortWithinPartitions("high", "low", "doc", "text_id", "start")
     told = materialize(windows.mapInArrow(_boundary_batches, "kind int, high long, low long, doc long, text_id long, start long"), "windows")
