@@ -30,8 +30,8 @@ SHORT, SIGNATURES = 24, 3
 #: Hashes of a line that are expected to stay candidates for its minima (the larger ones cannot well be least), and
 #: shingles that are looked at to tell whether a line repeats itself.
 KEPT, PROBES = 32, 32
-#: Longs of a sketch.
-SKETCH = 32
+#: Longs of a sketch, and how often lines are halved to find where they begin to differ.
+SKETCH, HALVES = 32, 7
 #: Bands of up to this many lines are compared whole by the first round; of those left, these many are by the second.
 SMALL_BAND, WHOLE_BAND = 3, 256
 #: A table of hashes (and counts) up to this many rows is broadcast (under 64 MB); beyond, the join is a shuffle.
@@ -59,10 +59,44 @@ def _shingle_hash(units: Column, start: Column) -> Column:
     return F.xxhash64(F.substring(units, start, F.lit(2 * SHINGLE)))
 
 
-def shingle_hashes(line: Column) -> Column:
-    """Distinct hashes of all strings of SHINGLE characters of a line; of the whole line, if it is shorter."""
-    units = F.array(_units(line))
-    return F.get(F.transform(units, lambda u: F.array_distinct(F.transform(_shingle_starts(u), lambda i: _shingle_hash(u, i)))), F.lit(0))
+def _shared_ends(one: Column, two: Column, back: bool) -> Column:
+    """How many characters at least two lines in _units() have in common at their starts, or at their ends.
+
+    Halves of the shorter line are compared, then of what is left, and so on.
+    """
+    size = F.shiftright(F.least(F.octet_length(one), F.octet_length(two)), 1)
+
+    def step(known: Column, part: Column) -> Column:
+        more = F.floor(size * part).cast("int")
+        at = lambda u: F.octet_length(u) - 2 * (known + more) + 1 if back else 2 * known + 1
+        return known + F.when(F.substring(one, at(one), 2 * more) == F.substring(two, at(two), 2 * more), more).otherwise(0)
+
+    return F.aggregate(F.array(*[F.lit(0.5**k) for k in range(1, HALVES + 1)]), F.lit(0), step)
+
+
+def _surely_similar() -> Column:
+    """True only if lines a and b are SIMILAR: their ends are alike, and few shingles lie between.
+
+    A line has no more shingles that the other has not than places between the ends, and no fewer than bits set.
+    """
+    places = F.least(F.col("size_a"), F.col("size_b"))
+    ends = [F.greatest(_shared_ends(F.col("units_a"), F.col("units_b"), back) - (SHINGLE - 1), F.lit(0)) for back in (False, True)]
+    differ = F.col("size_a") + F.col("size_b") - 2 * F.least(ends[0] + ends[1], places)
+    return differ <= F.lit((1 - SIMILAR) / (1 + SIMILAR) - 1e-9) * (F.col("set_a") + F.col("set_b"))
+
+
+def _similar(one: Column, two: Column) -> Column:
+    """Whether the whole shingle sets of two lines in _units() have a Jaccard similarity of SIMILAR or more.
+
+    Values are bound by functions over arrays of one element, so that none is made twice. Places are no fewer than
+    distinct shingles: if the shared ones are enough of all places, sets need not be counted.
+    """
+    hashes = lambda u: F.transform(_shingle_starts(u), lambda i: _shingle_hash(u, i))
+    lines = F.array(F.struct(one.alias("a"), two.alias("b")))
+    sets = F.transform(lines, lambda x: F.struct(hashes(x["a"]).alias("a"), hashes(x["b"]).alias("b")))
+    met = F.transform(sets, lambda x: F.struct(x.alias("of"), F.size(F.array_intersect(x["a"], x["b"])).alias("n")))
+    enough = lambda n, a, b: n >= SIMILAR * (F.size(a) + F.size(b) - n)
+    return F.exists(met, lambda y: enough(y["n"], y["of"]["a"], y["of"]["b"]) | enough(y["n"], F.array_distinct(y["of"]["a"]), F.array_distinct(y["of"]["b"])))
 
 
 def _limit(units: Column, shingles: Column) -> Column:
@@ -74,7 +108,7 @@ def _limit(units: Column, shingles: Column) -> Column:
     rng = random.Random(1)  # any numbers will do that keep no step with a period
     places = F.array(*[F.lit((k + rng.random()) / PROBES) for k in range(PROBES)])
     probes = F.transform(places, lambda share: F.substring(units, 2 * (share * shingles).cast("int") + 1, F.lit(2 * SHINGLE)))
-    few = F.when(shingles <= KEPT, True).otherwise(F.size(F.array_distinct(probes)) < PROBES - 1)
+    few = F.when(shingles <= 4 * KEPT, True).otherwise(F.size(F.array_distinct(probes)) < PROBES - 1)
     return F.when(few, F.lit(room)).otherwise((F.lit(float(room) * KEPT) / shingles).cast("long"))
 
 
@@ -142,10 +176,10 @@ def first_pairs(places: DataFrame) -> DataFrame:
 
 
 def texts_of(lines: DataFrame, hashes: DataFrame) -> DataFrame:
-    """(h, line, size, bits) of the lines (h, line) whose h is among the distinct hashes (h).
+    """(h, line, size, set, bits) of the lines (h, line) whose h is among the distinct hashes (h).
 
     bits is a sketch: each shingle sets one of 64 * SKETCH bits, so two sketches differ in no more bits than there are
-    shingles that one line has and the other has not. size is the number of places of shingles.
+    shingles that one line has and the other has not. size is the number of places of shingles, set that of bits set.
     """
     few = hashes.count() <= BROADCAST_ROWS
     found = lines.join(F.broadcast(hashes) if few else hashes, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
@@ -163,6 +197,7 @@ def texts_of(lines: DataFrame, hashes: DataFrame) -> DataFrame:
     none = F.array(*[zero] * half)
     of = [F.coalesce(F.max(F.when(F.col("side") == i, F.col("bits"))), none) for i in (0, 1)]
     sketches = marked.groupBy("h").agg(F.sum("places").cast("int").alias("size"), F.concat(*of).alias("bits"))
+    sketches = sketches.withColumn("set", F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x)))
     whole = materialize(found.join(sketches, "h"), "line-sketches")
     discard(found)
     return whole
@@ -186,11 +221,10 @@ def _may_be_similar(longs: int = SKETCH // 2) -> Column:
 def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose whole shingle sets have a Jaccard similarity of SIMILAR or more. texts: as texts_of()."""
     for side in ("a", "b"):
-        pairs = pairs.join(texts.select(*[F.col(c).alias(side if c == "h" else f"{c}_{side}") for c in ("h", "line", "size", "bits")]), side)
-    pairs = pairs.where(_may_be_similar(SKETCH))
-    pairs = pairs.select("a", "b", shingle_hashes(F.col("line_a")).alias("one"), shingle_hashes(F.col("line_b")).alias("two"))
-    pairs = pairs.select("a", "b", F.size(F.array_intersect("one", "two")).alias("shared"), (F.size("one") + F.size("two")).alias("both"))
-    return pairs.where(F.col("shared") >= SIMILAR * (F.col("both") - F.col("shared"))).select("a", "b")
+        pairs = pairs.join(texts.select(*[F.col(c).alias(side if c == "h" else f"{c}_{side}") for c in ("h", "line", "size", "set", "bits")]), side)
+    close = pairs.where(_may_be_similar(SKETCH))
+    units = close.select("a", "b", "size_a", "size_b", "set_a", "set_b", *[_units(F.col(f"line_{side}")).alias(f"units_{side}") for side in ("a", "b")])
+    return units.where(_surely_similar() | _similar(F.col("units_a"), F.col("units_b"))).select("a", "b")
 
 
 def unsettled(places: DataFrame, roots: DataFrame) -> DataFrame:
