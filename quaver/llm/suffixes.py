@@ -433,7 +433,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     small_batches(spark)
     id_, least = F.col("doc_id").cast("long"), -(1 << 63) + 1
     narrow = docs.select(
-        id_.alias("id"), F.coalesce(F.greatest(id_, F.lit(least)) - 1, F.lit((1 << 63) - 1)).alias("doc"),  # one less, so that none is as large as what stands for null
+        id_.alias("id"), F.when(id_.isNull(), F.lit((1 << 63) - 1)).otherwise(F.greatest(id_, F.lit(least)) - 1).alias("doc"),  # one less, so that none is as large as what stands for null
         F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("data"),
     )
     narrow, classes = _told_apart(narrow)
