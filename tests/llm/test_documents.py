@@ -461,34 +461,6 @@ def test_recall_of_short_lines(spark, size):
     assert len(want) > 300 and sum(frozenset(p) in found for p in want) >= 0.96 * len(want)
 
 
-def test_sure_pairs(spark):
-    """What ends alike tell is never wrong, and whole sets give the Jaccard similarity for all pairs."""
-    rng = random.Random(14)
-    made = []
-    for size in (9, 30, 80, 250):
-        for _ in range(60):
-            words = [rng.choice(WORDS) for _ in range(size // 5 + 1)]
-            other = list(words)
-            for _ in range(rng.randint(0, 2)):
-                other[rng.randrange(len(other))] = rng.choice([*WORDS, "", "tan tan tan"])
-            made.append((" ".join(words), " ".join(other)))
-    made += [("ab" * 50, "ab" * 30), ("a" * 90, "a" * 80 + "b"), ("", ""), ("abc", "abc"), ("same line of text", "same line of text")]
-    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(made)], "i int, line_a string, line_b string")
-    places = lambda c: F.greatest(F.length(c) - 7, F.lit(1))
-    sets = spark.createDataFrame([(i, len(shingles(a)), len(shingles(b))) for i, (a, b) in enumerate(made)], "i int, set_a int, set_b int")
-    df = df.join(sets, "i").select("i", "set_a", "set_b", places("line_a").alias("size_a"), places("line_b").alias("size_b"), *[lines._units(F.col(f"line_{s}")).alias(f"units_{s}") for s in "ab"])
-    ends = [lines._shared_ends(F.col("units_a"), F.col("units_b"), back) for back in (False, True)]
-    rows = df.select("i", lines._surely_similar().alias("sure"), lines._similar(F.col("units_a"), F.col("units_b")).alias("similar"), *[e.alias(f"e{k}") for k, e in enumerate(ends)]).collect()
-    sure = 0
-    for r in rows:
-        a, b = made[r.i]
-        want = len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b))
-        assert r.similar == want and (want or not r.sure), (a, b)
-        assert a[: r.e0] == b[: r.e0] and (not r.e1 or a[-r.e1 :] == b[-r.e1 :])
-        sure += r.sure
-    assert sure > 60
-
-
 @pytest.mark.parametrize("whole", [lines.WHOLE_BAND, 0])
 def test_large_bands(spark, monkeypatch, whole):
     """Lines of one large band: no pair between components is lost, whichever lines the band's heads are."""
