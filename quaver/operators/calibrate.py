@@ -94,7 +94,8 @@ def confusion(reads: DataFrame, points: DataFrame) -> DataFrame:
     """points with tp, fp, fn over reads (mean_ctx, bad_frac, should_accept).
 
     Reads are first counted by their place among the sorted thresholds and allowed shares (a grid cell each); acceptance
-    is then a comparison of places, summed over the cells by windows. No read meets more than its own cell.
+    is then a comparison of places, summed over the cells. No read meets more than its own cell. A point's own place is
+    looked up, as t_idx is no place among the sorted thresholds: those under a mean_ctx of 0 or 0.001 lie below or at 0.
     """
     ts = points.agg(F.sort_array(F.collect_set("t")).alias("ts"))
     ms = F.array(*[F.lit(m) for m in ALLOWED_BAD])
@@ -105,7 +106,8 @@ def confusion(reads: DataFrame, points: DataFrame) -> DataFrame:
     )
     cells = placed.groupBy("over", "past").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("wrong"))
     total = cells.agg(F.sum("good").alias("goods"))
-    joined = points.join(F.broadcast(cells), (F.col("over") > F.col("t_idx")) & (F.col("past") <= F.col("m_idx")), "left")
+    points = points.join(F.broadcast(ts)).withColumn("place", F.array_position("ts", F.col("t"))).drop("ts")
+    joined = points.join(F.broadcast(cells), (F.col("over") >= F.col("place")) & (F.col("past") <= F.col("m_idx")), "left")
     counts = joined.groupBy("t_idx", "t", "m_idx", "m").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("tp"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("fp"))
     return counts.join(F.broadcast(total)).select("t_idx", "t", "m_idx", "m", "tp", "fp", (F.coalesce("goods", F.lit(0)) - F.col("tp")).alias("fn"))
 

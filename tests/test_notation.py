@@ -157,6 +157,17 @@ def test_calibration_on_known_shares(spark):
         assert (r.tp, r.fp, r.fn) == (sum(taken), len(taken) - sum(taken), 17 - sum(taken))
 
 
+def test_confusion_near_zero(spark):
+    """Thresholds under mean_ctx 0 and 0.001 are below 0 and equal to it."""
+    rows = [(c, b, c != 0.3) for c in (0.0, 0.001, 0.002, 0.3, 0.5) for b in (0.0, 0.5)]
+    df = spark.createDataFrame(rows, "mean_ctx double, bad_frac double, should_accept boolean")
+    counts = calibrate.confusion(df, calibrate.grid(df)).collect()
+    assert len(counts) == 7 * 5
+    for r in counts:
+        taken = [g for c, b, g in rows if c >= r.t and b <= r.m]
+        assert (r.tp, r.fp, r.fn) == (sum(taken), len(taken) - sum(taken), 8 - sum(taken))
+
+
 def test_corpus(spark):
     rows = corpus.labelled(spark).collect()
     assert len(rows) == 56 and all(None not in r.gt_midi for r in rows)
