@@ -14,11 +14,9 @@ from quaver.llm.components import connected_components
 
 #: Words of a shingle, and the Jaccard similarity of near copies as a fraction.
 WORDS_EACH, SIMILAR = 5, (4, 5)
-#: Groups of up to this many documents that share a shingle are compared whole at once.
-SMALL_GROUP = 3
 #: Texts that frequent shingles are told from, and the most of those that are sent to the tasks (8 bytes and a count each).
-SAMPLED, MOST_FREQUENT = 4096, 200_000
-#: Longs of a sketch, and how many texts are picked by a broadcast of their digests (under 64 MB); beyond, by a shuffle.
+SAMPLED, MOST_FREQUENT = 65536, 1_000_000
+#: Fewest longs of a sketch, and how many texts are picked by a broadcast of their digests (under 64 MB); beyond, by a shuffle.
 SKETCH, BROADCAST_TEXTS = 16, 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -65,12 +63,14 @@ def _set_column(text: Column) -> Column:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The parity of a set's hashes in each of 64 * SKETCH classes.
+    """The parity of a set's hashes in each of as many classes as it has shingles or more, a power of two of longs.
 
-    Two sketches differ in no more bits than there are shingles that one of the sets has and the other has not.
+    Two sketches of a length differ in no more bits than there are shingles that one of the sets has and the other has
+    not. The exclusive or of a sketch's halves is the sketch of half the length.
     """
-    odd = np.bincount((shingles % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view("<i8")
+    longs = max(SKETCH, 1 << ((len(shingles) + 63) // 64 - 1).bit_length())
+    odd = np.bincount((shingles % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _sketch_column(text: Column) -> Column:
@@ -121,27 +121,22 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     share = max(1, total // SAMPLED)
     drawn = texts.where(F.pmod(F.xxhash64(F.col("text_id")), F.lit(share)) == 0)
     of = drawn.groupBy("text_id").agg(F.min("text").alias("text")).select(F.explode(_set_column(F.col("text"))).alias("s"))
-    found = of.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).toArrow()
-    shingles, counts = np.asarray(found.column("s")).view("<u8"), np.asarray(found.column("n"))
+    counted = materialize(of.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2"), "shingles-frequent")
+    found = counted.orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).toArrow()
+    discard(counted)
+    shingles, counts = np.asarray(found.column("s")).view("<u8"), np.asarray(found.column("n")).astype("<i4")
     order = np.argsort(shingles)
     return shingles[order], counts[order]
 
 
-def _may_be_similar(a: str, b: str) -> Column:
-    """At the first shingle that two similar sets share, what is left of each allows the overlap that SIMILAR asks for."""
+def _enough(shared: Column) -> Column:
+    """Whether so many shingles shared by sets of size_a and size_b shingles make these SIMILAR."""
     up, down = SIMILAR
-    most = F.least(F.col(f"size_{a}") - F.col(f"place_{a}"), F.col(f"size_{b}") - F.col(f"place_{b}")).cast("long")
-    return (up + down) * most >= up * (F.col(f"size_{a}").cast("long") + F.col(f"size_{b}"))
-
-
-def _pairs(met: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of rows with h, size and place of two sets."""
-    met = met.where((F.col("h_a") != F.col("h_b")) & _may_be_similar("a", "b"))
-    return met.select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).distinct()
+    return (up + down) * shared >= up * (F.col("size_a").cast("long") + F.col("size_b"))
 
 
 def _near_pairs(shared: DataFrame) -> DataFrame:
-    """Each set of a shingle's group with the group's first and with the one before: all pairs of a SMALL_GROUP.
+    """Each set of a shingle's group with the group's first and with the one before, if this may be the first shingle shared.
 
     The order is one for all shingles, so that the sets of a family meet the same first one and make few pairs.
     """
@@ -153,35 +148,65 @@ def _near_pairs(shared: DataFrame) -> DataFrame:
         F.first(F.struct(*columns)).over(order).alias("head"),
     ).where("back is not null")
     met = met.select("h_b", "size_b", "place_b", F.explode(F.array_distinct(F.array("back", "head"))).alias("o"))
-    return _pairs(met.select("*", *[F.col(f"o.{c}").alias(f"{c}_a") for c in columns]))
+    met = met.select("*", *[F.col(f"o.{c}").alias(f"{c}_a") for c in columns])
+    met = met.where((F.col("h_a") != F.col("h_b")) & _enough(F.least(*[F.col(f"size_{x}") - F.col(f"place_{x}") for x in "ab"])))
+    return met.select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).distinct()
+
+
+def _most_at() -> Column:
+    """The most shingles that two sets can share which share those at place_a and place_b."""
+    left = [F.col(f"size_{x}") - F.col(f"place_{x}") for x in "ab"]
+    return F.least("place_a", "place_b") + F.least(*left)
 
 
 def _late_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs of different components, of the groups that _near_pairs() did not compare whole."""
-    large = shared.where(f"n > {SMALL_GROUP}")
-    large = large.join(roots, large.h == roots.node, "left").select("s", "h", "size", "place", F.coalesce("root", "h").alias("root"))
-    split = large.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s")
-    left = large.join(split, "s")
-    one = left.select("s", *[F.col(c).alias(f"{c}_a") for c in ("h", "size", "place", "root")])
-    two = left.select("s", *[F.col(c).alias(f"{c}_b") for c in ("h", "size", "place", "root")])
-    return _pairs(one.join(two, "s").where("h_a < h_b and root_a <> root_b"))
+    """(a, b): all pairs of different components whose prefixes share as much as SIMILAR sets' do.
+
+    Of two prefixes, that which ends first shares with the other set what the prefixes share, and no more than what is
+    left of its set behind it; of the other set no more than what is left behind the last shingle shared.
+    """
+    up, down = SIMILAR
+    rooted = shared.join(roots, shared.h == roots.node, "left").select("s", "h", "size", "place", F.coalesce("root", "h").alias("root"))
+    split = rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s")
+    left = rooted.join(split, "s")
+    one, two = (left.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("h", "size", "place", "root")]) for side in "ab")
+    met = one.join(two, "s").where("h_a < h_b and root_a <> root_b").where(_enough(_most_at()))
+    last = F.max(F.struct("place_a", "place_b"))
+    met = met.groupBy("h_a", "h_b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared"), last.alias("last"))
+    behind = {x: F.expr(f"({up} * size_{x} + {down - 1}) div {down} - 1") for x in "ab"}
+    after = {x: F.col(f"size_{x}") - 1 - F.col(f"last.place_{x}") for x in "ab"}
+    most = F.col("shared") + F.greatest(F.least(behind["a"], after["b"]), F.least(behind["b"], after["a"]))
+    return met.where(_enough(most)).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+
+
+def _differing() -> Column:
+    """Bits in which the sketches bits_a and bits_b differ, the longer one folded; null if one is over twice as long."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    size = F.greatest(F.size("bits_a"), F.size("bits_b"))
+    short = F.when(F.size("bits_a") < size, F.col("bits_a")).otherwise(F.col("bits_b"))
+    long = F.when(F.size("bits_a") < size, F.col("bits_b")).otherwise(F.col("bits_a"))
+    half = F.shiftright(size, 1)
+    folded = F.zip_with(F.slice(long, F.lit(1), half), F.slice(long, half + 1, half), xor)
+    long = F.when(F.size(short) < size, folded).otherwise(long)
+    return F.aggregate(F.zip_with(long, short, xor), F.lit(0), lambda n, x: n + F.bit_count(x))
 
 
 def _similar(pairs: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose whole shingle sets have a Jaccard similarity of SIMILAR or more."""
     up, down = SIMILAR
     pairs = materialize(pairs, "shingle-pairs")
-    # Sets differ in at most (1 - t) / (1 + t) of both sizes. Sketches are few bytes, and most pairs go by them.
-    told = _texts_of(pairs, keys, texts).select("h", _sketch_column(F.col("text")).alias("told"))
-    sketches = materialize(told.select("h", F.get("told", F.lit(0)).alias("size"), F.slice("told", 2, SKETCH).alias("bits")), "shingle-sketches")
+    # Sets differ in at most (1 - t) / (1 + t) of both sizes. Sketches are an 8th of a byte a shingle, and most pairs go
+    # by them: whole sets are sent once a pair.
+    told = _rows_of(pairs, keys, texts).select("h", _sketch_column(F.col("text")).alias("told")).dropDuplicates(["h"])
+    sketches = materialize(told.select("h", F.get("told", F.lit(0)).alias("size"), F.expr("slice(told, 2, size(told) - 1)").alias("bits")), "shingle-sketches")
     close = pairs
     for side in ("a", "b"):
         close = close.join(sketches.select(F.col("h").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-    differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-    close = materialize(close.where((up + down) * differ <= (down - up) * (F.col("size_a") + F.col("size_b"))).select("a", "b"), "shingle-close")
+    close = materialize(close.where((up + down) * _differing() <= (down - up) * (F.col("size_a") + F.col("size_b"))).select("a", "b"), "shingle-close")
     for done in (pairs, sketches):
         discard(done)
-    sets = materialize(_texts_of(close, keys, texts).select("h", _set_column(F.col("text")).alias("set")), "shingle-sets")
+    of = _rows_of(close, keys, texts).groupBy("h").agg(F.min("text").alias("text"))
+    sets = materialize(of.select("h", _set_column(F.col("text")).alias("set")), "shingle-sets")
     both = close.join(sets.select(F.col("h").alias("a"), F.col("set").alias("one")), "a").join(sets.select(F.col("h").alias("b"), F.col("set").alias("two")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("one", "two")).alias("shared"), (F.size("one") + F.size("two")).alias("both"))
     found = materialize(both.where(f"{up + down} * shared >= {up} * both").select("a", "b"), "shingle-links")
@@ -190,12 +215,12 @@ def _similar(pairs: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     return found
 
 
-def _texts_of(pairs: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h, text) of the sets that pairs (a, b) name, one text each. No other text is shuffled while those are few."""
+def _rows_of(pairs: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h, text) of the sets that pairs (a, b) name, of one text each, as often as texts has it. None is shuffled while those are few."""
     named = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     first = materialize(keys.join(named, "h").groupBy("h").agg(F.min("text_id").alias("text_id")), "shingle-named")
     few = first.count() <= BROADCAST_TEXTS
-    return texts.join(F.broadcast(first) if few else first, "text_id").groupBy("h").agg(F.min("text").alias("text"))
+    return texts.join(F.broadcast(first) if few else first, "text_id").select("h", "text")
 
 
 def similar_links(keys: DataFrame, texts: DataFrame) -> DataFrame:
@@ -203,11 +228,13 @@ def similar_links(keys: DataFrame, texts: DataFrame) -> DataFrame:
 
     With all shingles in one order, two sets of a Jaccard similarity of t share a shingle among the first
     n - ceil(t n) + 1 of each, so no pair is lost. The order is by hash, those frequent in a sample last. Sets that share
-    such a shingle are compared with two others each first; pairs of different components that are left are all compared.
+    such a shingle are compared with two others each first; pairs of different components that are left are all compared,
+    if the prefixes share as much as they must: 4 of 9 of their shingles, where sizes are equal.
     """
     keyed = texts.select("text").mapInArrow(_prefix_batches(*_frequent(texts)), "s long, h long, size int, place int")
     keyed = keyed.repartition("s").dropDuplicates(["s", "h"])
-    shared = materialize(keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("s"))).where("n > 1"), "shingles-shared")
+    several = keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("s"))).where("n > 1")
+    shared = materialize(several.select("s", "h", "size", "place"), "shingles-shared")
     near = _similar(_near_pairs(shared), keys, texts)
     roots = materialize(connected_components(near), "shingle-roots")
     discard(near)

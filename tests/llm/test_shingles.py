@@ -63,3 +63,53 @@ def test_sketches():
             two = np.unique(np.concatenate([one[rng.random(len(one)) >= share], rng.integers(0, 1 << 63, int(size * share), dtype="<u8")]))
             bits = int(np.bitwise_count((operator.sketch(one) ^ operator.sketch(two)).view("<u8")).sum())
             assert bits <= len(np.setxor1d(one, two)) and (share or not bits)
+
+
+def test_pairs_of_long_texts(spark, sf, monkeypatch):
+    """Long texts that share passages are told apart before whole sets are sent; similar ones of unlike length are found."""
+    from quaver.llm import shingles as operator
+
+    rng = random.Random(9)
+    prose = lambda n: [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(n)]
+    passages = [prose(200) for _ in range(60)]
+    texts = [" ".join([*prose(2500), *passages[i], *prose(500), *passages[i - 1]]) for i in range(60)]
+    for size in (960, 1900, 2040, 3900):  # sketches of one length and of two
+        base = prose(size)
+        texts += [" ".join(base[: size - cut] + prose(more)) for cut, more in ((0, 0), (0, size // 10), (size // 20, 0), (size // 12, size // 12), (size // 6, size // 6), (0, size // 4 + 8))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if near(sets[a], sets[b])]
+    counts, write = {}, operator.materialize
+
+    def counted(df, name):
+        found = write(df, name)
+        counts[name] = counts.get(name, 0) + found.count()
+        return found
+
+    monkeypatch.setattr(operator, "materialize", counted)
+    kept = corpus_pipeline.one_of_each(spark, docs, sf).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(groups(links, range(len(sets))).values()))
+    assert len(links) >= 20 and counts["shingle-close"] < 2 * len(links)
+
+
+def test_late_pairs(spark):
+    """Of sets with prefixes that overlap by chance few are pairs; of those similar none is lost."""
+    import numpy as np
+
+    from quaver.llm import shingles as operator
+
+    rng = np.random.default_rng(3)
+    common, sets = rng.integers(0, 1 << 50, 30, dtype="<u8"), []
+    for i in range(40):
+        own = rng.integers(0, 1 << 62, int(rng.integers(60, 200)), dtype="<u8")
+        sets.append(np.unique(np.concatenate([own, rng.choice(common, 4)])))
+        for share in (0.05, 0.1, 0.15, 0.3)[: i % 5]:
+            drawn = rng.random(len(own)) >= share
+            sets.append(np.unique(np.concatenate([sets[-1][: len(sets[-1]) // 2], own[drawn], rng.integers(0, 1 << 62, i % 20, dtype="<u8")])))
+    rows = [(int(x), i, len(s), k, 4) for i, s in enumerate(sets) for k, x in enumerate(s[: len(s) - (4 * len(s) + 4) // 5 + 1])]
+    shared = spark.createDataFrame(rows, "s long, h long, size int, place int, n long")
+    found = {(r.a, r.b) for r in operator._late_pairs(shared, spark.createDataFrame([], "node long, root long")).collect()}
+    both = [(a, b, np.intersect1d(sets[a], sets[b]).size) for a in range(len(sets)) for b in range(a + 1, len(sets))]
+    similar = {(a, b) for a, b, n in both if 9 * n >= 4 * (len(sets[a]) + len(sets[b]))}
+    met = {(a, b) for a, b, n in both if n}
+    assert similar and similar <= found and len(found - similar) < 0.2 * len(met - similar)
