@@ -43,6 +43,7 @@ def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more.
 
+    SimHash fingerprints of the same shingles propose copies, a prefix filter those whose fingerprints are too far apart.
     The smallest doc_id stays, of different texts of one id that with the least hash, of repeated rows one. Texts without
     words are one group, null texts among them.
     """

@@ -1,4 +1,11 @@
-"""Near copies of documents by the exact Jaccard similarity of their word shingles."""
+"""Near copies of documents: SimHash fingerprints propose, the exact Jaccard similarity of word shingles decides.
+
+1. *Fingerprints.* Texts whose SimHash fingerprints link, as simhash.links_of() finds by deletion-variant signatures, are
+   candidates.
+2. *Prefixes.* Most texts that are just similar differ in more bits. Those that share a shingle of their prefixes are
+   candidates too; no similar pair is without one.
+3. *Verification.* Candidates are refused by sketches, and what is left is compared by the whole shingle sets.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaver.llm import simhash
 from quaver.llm.common import discard, materialize, small_batches
 from quaver.llm.components import connected_components
 
@@ -135,6 +143,22 @@ def _enough(shared: Column) -> Column:
     return (up + down) * shared >= up * (F.col("size_a").cast("long") + F.col("size_b"))
 
 
+def _print_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b): sets of keys (h, fp) whose fingerprints are equal or link.
+
+    A set is paired with the first of its fingerprint, the first ones of two fingerprints with each other.
+    """
+    prints = keys.select("h", "fp").distinct()
+    first = materialize(prints.groupBy("fp").agg(F.min("h").alias("first")), "shingle-prints")
+    equal = prints.join(first, "fp").select("h", "first")
+    links = simhash.links_of(first).distinct()
+    linked = links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("h")), "a").join(first.select(F.col("fp").alias("b"), "first"), "b").select("h", "first")
+    met = equal.union(linked).where("h <> first").select(F.least("h", "first").alias("a"), F.greatest("h", "first").alias("b"))
+    found = materialize(met.distinct(), "shingle-print-pairs")
+    discard(first)
+    return found
+
+
 def _near_pairs(shared: DataFrame) -> DataFrame:
     """Each set of a shingle's group with the group's first and with the one before, if this may be the first shingle shared.
 
@@ -224,19 +248,21 @@ def _rows_of(pairs: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def similar_links(keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) digests of sets, of keys (text_id, h) and texts (text_id, text): links whose components are those of all pairs that are SIMILAR.
+    """(a, b) digests of sets, of keys (text_id, h, fp) and texts (text_id, text): links whose components are those of all pairs that are SIMILAR.
 
-    With all shingles in one order, two sets of a Jaccard similarity of t share a shingle among the first
+    Sets whose fingerprints link are compared first. The rest is for those that these do not tell: with all shingles in one order, two sets of a Jaccard similarity of t share a shingle among the first
     n - ceil(t n) + 1 of each, so no pair is lost. The order is by hash, those frequent in a sample last. Sets that share
-    such a shingle are compared with two others each first; pairs of different components that are left are all compared,
+    such a shingle are compared with two others each as well; pairs of different components that are left are all compared,
     if the prefixes share as much as they must: 4 of 9 of their shingles, where sizes are equal.
     """
     keyed = texts.select("text").mapInArrow(_prefix_batches(*_frequent(texts)), "s long, h long, size int, place int")
     keyed = keyed.repartition("s").dropDuplicates(["s", "h"])
     several = keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("s"))).where("n > 1")
     shared = materialize(several.select("s", "h", "size", "place"), "shingles-shared")
-    near = _similar(_near_pairs(shared), keys, texts)
+    printed = _print_pairs(keys)
+    near = _similar(printed.union(_near_pairs(shared)).distinct(), keys, texts)
     roots = materialize(connected_components(near), "shingle-roots")
+    discard(printed)
     discard(near)
     late = _similar(_late_pairs(shared, roots), keys, texts)
     discard(shared)
@@ -257,8 +283,8 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     names = docs.columns
     text, id_ = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
     key = [id_.isNull().alias("none"), F.coalesce(id_, F.lit(0).cast("long")).alias("id"), F.xxhash64(text).alias("text_id")]
-    keys = materialize(docs.select(*key, _digest_column(F.col("text")).alias("h")), "shingle-keys")
-    links = similar_links(keys.select("text_id", "h").distinct(), docs.select(F.xxhash64(text).alias("text_id"), text.alias("text")))
+    keys = materialize(docs.select(*key, _digest_column(F.col("text")).alias("h"), simhash.fingerprint_column(F.col("text"), WORDS_EACH).alias("fp")), "shingle-keys")
+    links = similar_links(keys.select("text_id", "h", "fp").distinct(), docs.select(F.xxhash64(text).alias("text_id"), text.alias("text")))
     roots = connected_components(links)
     classes = keys.groupBy("h").agg(F.min(F.struct("none", "id", "text_id")).alias("first"))
     rooted = classes.join(roots, classes.h == roots.node, "left").select("first", F.coalesce("root", "h").alias("root"))

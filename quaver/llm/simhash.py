@@ -132,19 +132,25 @@ def _link_batches(batches):
         yield from out(_links_of_group(held_key, held))
 
 
+def links_of(classes: DataFrame) -> DataFrame:
+    """(a long, b long): links of distinct fingerprints (fp) whose components are those of all within MAX_BITS bits.
+
+    Fingerprints within three bits agree but for one bit at most in one half of 32 bits, so they share that half or one
+    of its 32 variants with a bit deleted. They are dealt by signature, verified by bit distance, and each signature's
+    group gives a spanning set of links, never all pairs.
+    """
+    signed = classes.select("fp").mapInArrow(_signature_batches, "key long, fp long")
+    return signed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link_batches, "a long, b long")
+
+
 def components(prints: DataFrame) -> DataFrame:
     """(fp long, least long, root long) of every distinct fingerprint of prints (doc_id, fp).
 
-    Fingerprints within three bits agree but for one bit at most in one half of 32 bits, so they share that half or one
-    of its 32 variants with a bit deleted. Equal fingerprints are one class, found before the shuffle; classes are dealt
-    by signature, verified by bit distance, and each signature's group gives a spanning set of links, never all pairs.
-    least is the smallest doc_id of the fingerprint (null if it has null ones only), root a fingerprint that stands for
-    the component.
+    Equal fingerprints are one class, found before the shuffle; links_of() joins classes. least is the smallest doc_id of
+    the fingerprint (null if it has null ones only), root a fingerprint that stands for the component.
     """
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    signed = classes.select("fp").mapInArrow(_signature_batches, "key long, fp long")
-    links = signed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link_batches, "a long, b long")
-    roots = connected_components(links)
+    roots = connected_components(links_of(classes))
     rooted = classes.join(roots, classes.fp == roots.node, "left")
     return materialize(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-classes")
 

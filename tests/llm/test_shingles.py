@@ -113,3 +113,26 @@ def test_late_pairs(spark):
     similar = {(a, b) for a, b, n in both if 9 * n >= 4 * (len(sets[a]) + len(sets[b]))}
     met = {(a, b) for a, b, n in both if n}
     assert similar and similar <= found and len(found - similar) < 0.2 * len(met - similar)
+
+
+def test_fingerprints_propose(spark, sf, monkeypatch):
+    """Without the prefix filter, copies whose fingerprints link are found, and no others."""
+    from quaver.llm import shingles as operator
+
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(operator, "_near_pairs", lambda shared: none)
+    monkeypatch.setattr(operator, "_late_pairs", lambda shared, roots: none)
+    rng = random.Random(10)
+    prose = lambda n: [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(n)]
+    texts = ["", "one", "one two"]
+    for size in (12, 100, 400, 900):
+        for _ in range(6):
+            base = prose(size)
+            texts += [" ".join(base), " ".join(["new", *base[1:]]), " ".join([*base[: size // 2], *prose(size // 2)])]
+    texts.append(" ".join(texts[-1].split() * 2))  # another text with much the same shingles
+    prints = [simhash.simhash(t, 5) for t in texts]
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if (prints[a] ^ prints[b]).bit_count() <= 3 and near(sets[a], sets[b])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.one_of_each(spark, docs, sf).collect()
+    assert len(links) > 5 and sorted(r.doc_id for r in kept) == sorted(set(groups(links, range(len(texts))).values()))
