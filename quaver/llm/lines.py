@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,8 +31,8 @@ SHORT, SIGNATURES = 24, 3
 #: Hashes of a line that are expected to stay candidates for its minima (the larger ones cannot well be least), and
 #: shingles that are looked at to tell whether a line repeats itself.
 KEPT, PROBES = 32, 32
-#: Longs of a sketch.
-SKETCH = 32
+#: Longs of a sketch, and how many of them a row holds while they are gathered.
+SKETCH, GATHERED = 32, 8
 #: Bands of up to this many lines are compared whole by the first round; of those left, these many are by the second.
 SMALL_BAND, WHOLE_BAND = 3, 256
 #: A table of hashes (and counts) up to this many rows is broadcast (under 64 MB); beyond, the join is a shuffle.
@@ -59,10 +60,17 @@ def _shingle_hash(units: Column, start: Column) -> Column:
     return F.xxhash64(F.substring(units, start, F.lit(2 * SHINGLE)))
 
 
+def _hashes_at(units: Column, items: Callable[[Column], Column], place: Callable[[Column], Column] = lambda x: x) -> Column:
+    """Hashes of the shingles at the place of each of the items of _units(), as an array.
+
+    Lambdas are not compiled, and one that takes a line from a column copies it each time: so units are an argument of one.
+    """
+    return F.get(F.transform(F.array(units), lambda u: F.transform(items(u), lambda x: _shingle_hash(u, place(x)))), F.lit(0))
+
+
 def shingle_hashes(line: Column) -> Column:
-    """Distinct hashes of all strings of SHINGLE characters of a line; of the whole line, if it is shorter."""
-    units = F.array(_units(line))
-    return F.get(F.transform(units, lambda u: F.array_distinct(F.transform(_shingle_starts(u), lambda i: _shingle_hash(u, i)))), F.lit(0))
+    """Hashes of all strings of SHINGLE characters of a line, repeats included; of the whole line, if it is shorter."""
+    return _hashes_at(_units(line), _shingle_starts)
 
 
 def _limit(units: Column, shingles: Column) -> Column:
@@ -72,8 +80,8 @@ def _limit(units: Column, shingles: Column) -> Column:
     """
     room = 1 << (64 - (MINIMA - 1).bit_length())
     rng = random.Random(1)  # any numbers will do that keep no step with a period
-    places = F.array(*[F.lit((k + rng.random()) / PROBES) for k in range(PROBES)])
-    probes = F.transform(places, lambda share: F.substring(units, 2 * (share * shingles).cast("int") + 1, F.lit(2 * SHINGLE)))
+    shares = F.array(*[F.lit((k + rng.random()) / PROBES) for k in range(PROBES)])
+    probes = _hashes_at(units, lambda _: shares, lambda share: 2 * (share * shingles).cast("int") + 1)
     few = F.when(shingles <= 4 * KEPT, True).otherwise(F.size(F.array_distinct(probes)) < PROBES - 1)
     return F.when(few, F.lit(room)).otherwise((F.lit(float(room) * KEPT) / shingles).cast("long"))
 
@@ -150,20 +158,22 @@ def texts_of(lines: DataFrame, hashes: DataFrame) -> DataFrame:
     few = hashes.count() <= BROADCAST_ROWS
     found = lines.join(F.broadcast(hashes) if few else hashes, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
     found = materialize(found, "line-texts")
-    units = found.select("h", _units(F.col("line")).alias("units"))
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as the lines are few bytes but much work
+    apart = found.repartition(parts, "h")  # what follows stays in the partition that holds the line
+    units = apart.select("h", _units(F.col("line")).alias("units"))
     starts = units.select("h", "units", F.explode(_shingle_starts(F.col("units"))).alias("start"))
     hashed = starts.select("h", _shingle_hash(F.col("units"), F.col("start")).alias("s"))
-    half, bit = SKETCH // 2, F.expr("shiftleft(1L, cast(s & 63 as int))")
-    word = F.shiftrightunsigned("s", 6).bitwiseAND(F.lit(half - 1))
-    side = F.shiftrightunsigned("s", 58).bitwiseAND(F.lit(1))
+    sides, bit = SKETCH // GATHERED, F.expr("shiftleft(1L, cast(s & 63 as int))")
+    word = F.shiftrightunsigned("s", 6).bitwiseAND(F.lit(GATHERED - 1))
+    side = F.shiftrightunsigned("s", 58).bitwiseAND(F.lit(sides - 1))
     marked = hashed.select("h", side.alias("side"), word.alias("word"), bit.alias("bit"))
     zero = F.lit(0).cast("long")
-    marked = marked.groupBy("h", "side").agg(F.count(F.lit(1)).alias("places"), *[F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(zero)).alias(f"w{i}") for i in range(half)])
-    marked = marked.select("h", "side", "places", F.array(*[F.col(f"w{i}") for i in range(half)]).alias("bits"))
-    none = F.array(*[zero] * half)
-    of = [F.coalesce(F.max(F.when(F.col("side") == i, F.col("bits"))), none) for i in (0, 1)]
+    marked = marked.groupBy("h", "side").agg(F.count(F.lit(1)).alias("places"), *[F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(zero)).alias(f"w{i}") for i in range(GATHERED)])
+    marked = marked.select("h", "side", "places", F.array(*[F.col(f"w{i}") for i in range(GATHERED)]).alias("bits"))
+    none = F.array(*[zero] * GATHERED)
+    of = [F.coalesce(F.max(F.when(F.col("side") == i, F.col("bits"))), none) for i in range(sides)]
     sketches = marked.groupBy("h").agg(F.sum("places").cast("int").alias("size"), F.concat(*of).alias("bits"))
-    whole = materialize(found.join(sketches, "h"), "line-sketches")
+    whole = materialize(apart.join(sketches, "h"), "line-sketches")
     discard(found)
     return whole
 
@@ -189,8 +199,9 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         pairs = pairs.join(texts.select(*[F.col(c).alias(side if c == "h" else f"{c}_{side}") for c in ("h", "line", "size", "bits")]), side)
     pairs = pairs.where(_may_be_similar(SKETCH))
     pairs = pairs.select("a", "b", shingle_hashes(F.col("line_a")).alias("one"), shingle_hashes(F.col("line_b")).alias("two"))
-    pairs = pairs.select("a", "b", F.size(F.array_intersect("one", "two")).alias("shared"), (F.size("one") + F.size("two")).alias("both"))
-    return pairs.where(F.col("shared") >= SIMILAR * (F.col("both") - F.col("shared"))).select("a", "b")
+    # Both of these drop repeats, in compiled code, which the lambda above is not.
+    pairs = pairs.select("a", "b", F.size(F.array_intersect("one", "two")).alias("shared"), F.size(F.array_union("one", "two")).alias("all"))
+    return pairs.where(F.col("shared") >= SIMILAR * F.col("all")).select("a", "b")
 
 
 def unsettled(places: DataFrame, roots: DataFrame) -> DataFrame:

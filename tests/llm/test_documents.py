@@ -424,6 +424,34 @@ def test_band_recall(spark):
     assert len(want) > 300 and sum(frozenset(p) in found for p in want) >= 0.96 * len(want)
 
 
+def test_similarity_counts_repeated_shingles_once(spark):
+    """Lines that repeat themselves are compared as sets, right at the limit and beside it."""
+    rng = random.Random(6)
+    made = []
+    for _ in range(60):
+        line = "".join(rng.choice("abcd ") for _ in range(60)) * rng.randint(1, 4)
+        at = rng.randint(0, len(line) - 1)
+        made.append((line, line[:at] + "".join(rng.choice("xyz") for _ in range(rng.randint(1, 6))) + line[at:]))
+    df = spark.createDataFrame([(x,) for x in sorted({x for p in made for x in p})], "line string").withColumn("h", F.xxhash64("line"))
+    names = {r.line: r.h for r in df.collect()}
+    pairs = spark.createDataFrame([(names[a], names[b]) for a, b in made], "a long, b long")
+    texts = lines.texts_of(df, df.select("h"))
+    assert {r.line: r.size for r in texts.collect()} == {x: max(1, len(x) - 7) for x in names}
+    found = {(r.a, r.b) for r in lines.similar_pairs(pairs, texts).collect()}
+    want = {(names[a], names[b]) for a, b in made if len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b))}
+    assert found == want and 0 < len(want) < len(made)
+
+
+def test_lines_are_not_copied_for_each_shingle(spark):
+    """Lambdas take no line from a column (one that does copies it each time), and sketches are made where the line is."""
+    df = spark.createDataFrame([("A line of some length",)], "line string").withColumn("h", F.xxhash64("line"))
+    plan = lines.signatures(df)._jdf.queryExecution().analyzed().toString()
+    inner = [x for x in re.findall(r"lambdafunction\(([^\n]*)", plan) if "substring(" in x]
+    assert inner and not any(re.search(r"substring\(units#", x) for x in inner)
+    texts = lines.texts_of(df, df.select("h"))
+    assert texts.columns == ["h", "line", "size", "bits"] and len(texts.first().bits) == lines.SKETCH
+
+
 def test_lines_of_white_space(spark):
     """Empty lines of texts whose lines end in carriage returns stay; so do other blank ones."""
     made = [(1, "One line that is here\r\n\r\nAnother line, further on\r\n\r\n"), (2, "One line that is here\r\n\r\n\t \n\r\n"), (None, None), (3, "")]
